@@ -1 +1,15 @@
+"""All registered queries."""
 
+from __future__ import annotations
+
+import importlib
+
+from marginalia.catalog.base import ENTRIES, Entry
+
+MODULES = ["text_queries", "vault_queries"]
+
+
+def load() -> dict[str, Entry]:
+    for name in MODULES:
+        importlib.import_module(f"marginalia.catalog.{name}")
+    return ENTRIES

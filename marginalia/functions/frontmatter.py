@@ -122,20 +122,23 @@ def rewrite(text: Column | str, updates: dict[str, Column | None], pattern: str
     inner = block(source, pattern)
     rest = F.regexp_replace(source, pattern, "")
 
-    def is_field(line: Column) -> Column:
-        return F.contains(line, F.lit(":")) & ~F.rlike(line, F.lit(r"^\s*#"))
+    def names(line: Column, key: str) -> Column:
+        field = F.contains(line, F.lit(":")) & ~F.rlike(line, F.lit(r"^\s*#"))
+        return field & (F.lower(_key(line)) == key)
+
+    def without(lines: Column, key: str) -> Column:
+        return F.filter(lines, lambda x: ~names(x, key))
+
+    def with_value(lines: Column, key: str, new: Column) -> Column:
+        present = F.exists(lines, lambda x: names(x, key))
+        replaced = F.transform(lines, lambda x: F.when(names(x, key), new).otherwise(x))
+        return F.when(present, replaced).otherwise(F.concat(lines, F.array(new)))
 
     kept = lines_of(inner)
     for key, value in updates.items():
-        wanted = key.lower()
         if value is None:
-            kept = F.filter(kept, lambda x, k=wanted: ~(is_field(x) & (F.lower(_key(x)) == k)))
-            continue
-        line = F.concat(F.lit(f"{key}: "), value)
-        present = F.exists(lines_of(inner), lambda x, k=wanted: is_field(x) & (F.lower(_key(x)) == k))
-        replaced = F.transform(
-            kept, lambda x, k=wanted, new=line: F.when(is_field(x) & (F.lower(_key(x)) == k), new).otherwise(x)
-        )
-        kept = F.when(present, replaced).otherwise(F.concat(kept, F.array(line)))
+            kept = without(kept, key.lower())
+        else:
+            kept = with_value(kept, key.lower(), F.concat(F.lit(f"{key}: "), value))
     joined = F.concat(F.lit("---\n"), F.array_join(kept, "\n"), F.lit("\n---\n"), rest)
     return F.when(F.rlike(source, F.lit(pattern)), joined).otherwise(source)

@@ -24,6 +24,7 @@ def build_session(app: str = "marginalia", master: str | None = None, cores: int
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if cores:
         conf["spark.sql.shuffle.partitions"] = str(cores)
