@@ -56,7 +56,7 @@ def _sums() -> list[Column]:
         F.sum("input_tokens").alias("tokens_in"),
         F.sum("output_tokens").alias("tokens_out"),
         F.round(F.sum("cost_usd"), 6).alias("cost"),
-        F.round(F.sum("estimated_cost_usd"), 6).alias("estimate"),
+        F.round(F.sum("estimated_cost_usd"), 8).alias("estimate"),
     ]
 
 
@@ -92,7 +92,7 @@ def by_all_three(ledger: DataFrame) -> DataFrame:
 def rolling_spend(ledger: DataFrame, day: Column) -> DataFrame:
     """Spend from seven days before ``day`` on; both ends count."""
     return ledger.where(F.col("date") >= F.date_sub(day, ROLLING_DAYS)).agg(
-        F.round(F.sum("cost_usd"), 6).alias("rolling"), F.round(F.sum("estimated_cost_usd"), 6).alias("rolling_estimate")
+        F.round(F.sum("cost_usd"), 6).alias("rolling"), F.round(F.sum("estimated_cost_usd"), 8).alias("rolling_estimate")
     )
 
 
