@@ -278,23 +278,17 @@ def gap_bullets(links: Column, descriptor: Column) -> Column:
 def linkify(text: Column, paths: Column) -> Column:
     """Wrap bare node ids of ``paths`` (``array<struct<id, path>>``) in links.
 
-    Existing links stay as they are. Only the ids that occur in the row reach
-    this function, so the fold is as long as the row's own id list.
+    The text is cut into links, ids and the rest in one pass; links stay as they
+    are and ids without a page stay bare.
     """
-    link = r"\[\[[^\]]*\]\]"
-    pieces = F.split(text, f"(?={link})|(?<=\\]\\])")
-
-    def replaced(piece: Column) -> Column:
-        return F.aggregate(
-            paths,
-            piece,
-            lambda acc, p: F.regexp_replace(
-                acc,
-                F.concat(F.lit(r"\b"), p["id"], F.lit(r"\b")),
-                F.concat(F.lit("[["), p["path"], F.lit("]]")),
-            ),
-        )
+    node = NODE_ID_PATTERN
+    pieces = all_matches(text, rf"(?s)\[\[[^\]]*\]\]|{node}|(?:(?!\[\[|{node}).)+|.", 0)
 
-    return F.array_join(
-        F.transform(pieces, lambda s: F.when(F.startswith(s, F.lit("[[")), s).otherwise(replaced(s))), ""
-    )
+    def joined(known: Column) -> Column:
+        def linked(piece: Column) -> Column:
+            path = F.try_element_at(known, piece)
+            return F.when(path.isNotNull(), F.concat(F.lit("[["), path, F.lit("]]"))).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, linked), "")
+
+    return bind(F.map_from_entries(paths), joined)
