@@ -42,7 +42,7 @@ def unquote_all(v: Column) -> Column:
     return F.regexp_replace(v, "^[\"']+|[\"']+$", "")
 
 
-def _last_wins(pairs: Column) -> Column:
+def last_wins(pairs: Column) -> Column:
     """Map of key/value structs in which a later line replaces an earlier one."""
     kept = F.filter(
         pairs,
@@ -62,7 +62,7 @@ def scalars(text: Column | str, pattern: str = BLOCK_AT_END, quotes: str = "pair
         return F.struct(key.alias("key"), unquote(_value(line)).alias("value"))
 
     entries = F.transform(F.filter(lines_of(block(text, pattern)), lambda x: F.rlike(x, F.lit(r"^\s*[^#\s][^:]*:|^:"))), entry)
-    return bind(entries, _last_wins)
+    return bind(entries, last_wins)
 
 
 def scalar(text: Column | str, key: str, pattern: str = BLOCK_AT_END) -> Column:
