@@ -345,22 +345,27 @@ def _keyword_routes(tags: DataFrame, reg: DataFrame, base: Column) -> DataFrame:
     """Feeds whose focus text holds a target's keywords, half a point per hit.
 
     Distinct keywords meet the feeds on the keyword's first four characters and
-    are then verified; per target and tag only the best five are kept.
+    are then verified. Targets with the same keyword list are ranked once and
+    take the best five of that list.
     """
     focus = F.lower(F.concat_ws(" ", "focus", "name"))
     feeds = reg.where(F.col("section") == "blog-newsfeed").select("source_id", base.alias("base"), focus.alias("focus"))
     asked = (
-        tags.select("target_id", "tag_pos", F.explode("keywords").alias("kw"))
-        .groupBy("target_id", "tag_pos", F.lower("kw").alias("kw"))
+        tags.select("keywords")
+        .distinct()
+        .select("keywords", F.explode(F.transform("keywords", lambda k: F.lower(k))).alias("kw"))
+        .where("kw <> ''")
+        .groupBy("keywords", "kw")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    words = asked.select("kw").where("kw <> ''").distinct().withColumn("gram", F.substring("kw", 1, 4))
+    words = asked.select("kw").distinct().withColumn("gram", F.substring("kw", 1, 4))
     pieces = feeds.select("source_id", "base", "focus", F.explode(_grams(F.col("focus"))).alias("gram"))
     hits = words.join(pieces, "gram").where(F.contains("focus", F.col("kw"))).select("kw", "source_id", "base")
-    scored = asked.join(hits, "kw").groupBy("target_id", "tag_pos", "source_id", "base").agg(F.sum("times").alias("hits"))
-    valued = scored.select("target_id", "tag_pos", "source_id", F.round(F.col("base") + F.col("hits") * 0.5, 6).alias("value"))
-    order = Window.partitionBy("target_id", "tag_pos").orderBy(F.col("value").desc(), "source_id")
-    return valued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROUTED_SOURCES).drop("n")
+    scored = asked.join(hits, "kw").groupBy("keywords", "source_id", "base").agg(F.sum("times").alias("hits"))
+    valued = scored.select("keywords", "source_id", F.round(F.col("base") + F.col("hits") * 0.5, 6).alias("value"))
+    order = Window.partitionBy("keywords").orderBy(F.col("value").desc(), "source_id")
+    best = valued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROUTED_SOURCES).drop("n")
+    return tags.join(best, "keywords").select("target_id", "tag_pos", "source_id", "value")
 
 
 # ---- selection ----------------------------------------------------------------

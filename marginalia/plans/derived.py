@@ -173,3 +173,124 @@ messages AS (
          CASE WHEN length(text) % 10 = 0 THEN NULL ELSE length(text) // 4 END AS input_tokens,
          length(text) // 8 AS output_tokens, length(text) % 5 AS cache_read, length(text) % 3 AS cache_create
   FROM conversations)"""
+
+
+ENGINES = ["rss", "arxiv", "hackernews", "openalex"]
+CANDIDATE_LANES = ["gap", "research", "news", "other"]
+
+
+def page_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """``pages`` as scored crawl candidates."""
+    from marginalia.operators.harvest import page_candidates as from_pages
+
+    i = F.col("page_id")
+    pages = read_table(spark, folder, "pages")
+    scored = pages.select(i.alias("key"), (F.length("html") % 1000 / 1000).alias("score"))
+    read = from_pages(pages).join(scored, i == F.col("key")).drop("key")
+    return read.withColumn(
+        "source_id", F.when(i % 10 == 0, F.concat(F.lit("arxiv:2401.0"), F.lpad((i % 40).cast("string"), 4, "0"))).otherwise(F.col("source_id"))
+    ).withColumns(
+        {
+            "cand_id": i,
+            "engine": _pick(i % 4, ENGINES),
+            "lane": _pick(i % 4, CANDIDATE_LANES),
+            "published": F.format_string("2023-%02d-%02d", i % 12 + 1, i % 28 + 1),
+            "id_type": F.when(i % 10 == 0, "arxiv").otherwise("url"),
+            "origin_ids": F.array(F.format_string("GAP-%02d", i % 9)),
+            "expected_evidence": F.concat(F.lit("evidence "), i % 9, F.lit(".")),
+        }
+    )
+
+
+HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+PAGE_TEXT_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(html,
+ '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"""
+CANDIDATES_SQL = rf"""
+cands AS (
+  SELECT page_id AS cand_id, url, html,
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title,
+    {PAGE_TEXT_SQL} AS snippet,
+    CASE WHEN page_id % 10 = 0 THEN 'arxiv:2401.0' || lpad(cast(page_id % 40 AS varchar), 4, '0') ELSE {HOST_SQL} END AS source_id,
+    CASE WHEN page_id % 10 = 0 THEN 'arxiv' ELSE 'url' END AS id_type,
+    (length(html) % 1000) / 1000::DOUBLE AS score,
+    ['rss', 'arxiv', 'hackernews', 'openalex'][1 + page_id % 4] AS engine,
+    ['gap', 'research', 'news', 'other'][1 + page_id % 4] AS lane,
+    printf('2023-%02d-%02d', page_id % 12 + 1, page_id % 28 + 1) AS published,
+    printf('GAP-%02d', page_id % 9) AS origin
+  FROM pages),
+idents AS (SELECT *, CASE WHEN source_id LIKE 'arxiv:%' THEN source_id ELSE coalesce(nullif(regexp_replace(url, '/+$', ''), ''), source_id) END AS ident FROM cands)"""
+
+
+SECTIONS = ["paper-publisher", "blog-newsfeed", "github-repos"]
+CATEGORIES = ["preprint_repository", "paper_api", "vendor_blogs", "benchmarking", "hardware_analysis", "misc"]
+
+
+def registry(spark: SparkSession, folder: str) -> DataFrame:
+    """``part`` as the source registry."""
+    from marginalia.operators.harvest import paper_engine
+
+    k = F.col("p_partkey")
+    category = _pick(F.col("p_size") % 6, CATEGORIES)
+    entry = F.when(k % 50 == 0, F.lit("papers_with_code")).when(k % 5 == 0, F.concat(F.lit("arxiv_"), k)).otherwise(F.concat(F.lit("p"), k))
+    return read_table(spark, folder, "part").select(
+        _pick(k % 3, SECTIONS).alias("section"),
+        F.when(k % 50 == 0, F.concat(F.lit("p"), k)).otherwise(entry).alias("source_id"),
+        F.col("p_name").alias("name"),
+        F.concat_ws(" ", "p_type", "p_brand").alias("focus"),
+        category.alias("category"),
+        (F.col("p_size") % 5 + 1).cast("bigint").alias("relevance"),
+        paper_engine(entry, category, {"p3": "openalex", "p6": "semantic_scholar"}).alias("engine"),
+        k.alias("ord"),
+    )
+
+
+REGISTRY_SQL = """
+registry AS (
+  SELECT *, CASE WHEN entry = 'p3' THEN 'openalex' WHEN entry = 'p6' THEN 'semantic_scholar'
+       WHEN starts_with(entry, 'arxiv_') THEN 'arxiv' WHEN entry = 'papers_with_code' THEN ''
+       WHEN category = 'preprint_repository' THEN 'arxiv' WHEN category = 'paper_api' THEN 'semantic_scholar' ELSE '' END AS engine
+  FROM (SELECT ['paper-publisher', 'blog-newsfeed', 'github-repos'][1 + p_partkey % 3] AS section,
+         CASE WHEN p_partkey % 50 = 0 THEN 'p' || p_partkey WHEN p_partkey % 5 = 0 THEN 'arxiv_' || p_partkey ELSE 'p' || p_partkey END AS source_id,
+         CASE WHEN p_partkey % 50 = 0 THEN 'papers_with_code' WHEN p_partkey % 5 = 0 THEN 'arxiv_' || p_partkey ELSE 'p' || p_partkey END AS entry,
+         p_name AS name, p_type || ' ' || p_brand AS focus,
+         ['preprint_repository', 'paper_api', 'vendor_blogs', 'benchmarking', 'hardware_analysis', 'misc'][1 + p_size % 6] AS category,
+         cast(p_size % 5 + 1 AS bigint) AS relevance, p_partkey AS ord FROM part))"""
+
+
+DECISION_STATUS = {"purchase": "ingested", "signup": "pending", "error": "rejected", "click": "waiting_approval", "view": "deleted"}
+
+
+def decision_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as decided ledger rows."""
+    u, i = F.col("user_id"), F.col("event_id")
+    status = F.lit(None).cast("string")
+    for event, name in DECISION_STATUS.items():
+        status = F.when(F.col("event_type") == event, F.lit(name)).otherwise(status)
+    reason = F.concat_ws(
+        " ", F.lit("too much"), _pick(i % 3, ["vendor noise", "marketing", "stale duplicate"]),
+        F.concat(F.lit("bucket"), F.get_json_object("props", "$.k")),
+    )
+    return read_table(spark, folder, "events").select(
+        i.alias("id"),
+        status.alias("status"),
+        F.when(u % 10 == 0, "research").otherwise("web").alias("discovered_by"),
+        F.when(u % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("s"), u)).alias("source_id"),
+        _pick(u % 3, ["rss", "arxiv", "web"]).alias("engine"),
+        F.when(i % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("value") / 1000).alias("relevance_score"),
+        F.when(F.col("event_type") == "error", reason).otherwise(F.lit("")).alias("rejection_reason"),
+    )
+
+
+DECISIONS_SQL = """
+decided AS (
+  SELECT *, status IN ('ingested', 'pending') AS accepted FROM (
+    SELECT event_id AS id,
+      CASE event_type WHEN 'purchase' THEN 'ingested' WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'rejected'
+           WHEN 'click' THEN 'waiting_approval' ELSE 'deleted' END AS status,
+      CASE WHEN user_id % 7 = 0 THEN '' ELSE 's' || user_id END AS source_id,
+      ['rss', 'arxiv', 'web'][1 + user_id % 3] AS engine,
+      CASE WHEN event_id % 13 = 0 THEN NULL ELSE value / 1000 END AS relevance_score,
+      CASE WHEN event_type = 'error' THEN 'too much ' || ['vendor noise', 'marketing', 'stale duplicate'][1 + event_id % 3]
+           || ' bucket' || json_extract_string(props, '$.k') ELSE '' END AS rejection_reason
+    FROM events WHERE user_id % 10 <> 0 AND event_id % 4 <> 0)
+  WHERE status IN ('ingested', 'pending', 'rejected'))"""
