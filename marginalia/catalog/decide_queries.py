@@ -235,39 +235,42 @@ def set_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def matching_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """User turns as gaps, assistant turns as directions; concepts by conversation."""
-    turns = read_table(spark, folder, "conversations")
-    key = F.format_string("%06d-%03d", "conv_id", "turn")
-    concepts = F.array(F.concat(F.lit("c"), F.col("conv_id") % 7), F.concat(F.lit("d"), F.col("turn") % 3))
-    both = turns.select(key.alias("id"), matching_terms("text").alias("terms"), concepts.alias("concepts"), "role")
+    """Even documents as gaps, odd ones as directions; language and source as concepts."""
+    i = F.col("doc_id")
+    both = read_table(spark, folder, "documents").select(
+        F.format_string("%08d", i).alias("id"), matching_terms("text").alias("terms"), F.array("lang", "source").alias("concepts"),
+        (i % 2).alias("role"),
+    )
     return tuple(
-        decide.match_units(both.where(F.col("role") == role).select("id", "terms", "concepts")) for role in ("user", "assistant")
+        decide.match_units(both.where(F.col("role") == role).select("id", "terms", "concepts")) for role in (0, 1)
     )
 
 
 MATCH_SQL = f"""
-side AS (SELECT printf('%06d-%03d', conv_id, turn) AS id, role, {fr.matching_terms('text')} AS ts, ['c' || (conv_id % 7), 'd' || (turn % 3)] AS cs FROM conversations),
+side AS (SELECT printf('%08d', doc_id) AS id, doc_id % 2 AS role, {fr.matching_terms('text')} AS ts, [lang, source] AS cs FROM documents),
 tok AS (SELECT id, role, len(ts) AS n, cs, unnest(ts) AS t FROM side),
 met AS (SELECT g.id AS gap_id, d.id AS direction_id, count(*) AS shared, any_value(g.n) AS gn, any_value(d.n) AS dn, any_value(g.cs) AS gc, any_value(d.cs) AS dc
-  FROM tok g JOIN tok d ON g.t = d.t WHERE g.role = 'user' AND d.role = 'assistant' GROUP BY g.id, d.id),
+  FROM tok g JOIN tok d ON g.t = d.t WHERE g.role = 0 AND d.role = 1 GROUP BY g.id, d.id),
 sc AS (SELECT gap_id, direction_id, round(shared / (gn + dn - shared)::DOUBLE + least(len(list_intersect(gc, dc)) * 0.05, 0.10), 9) AS score FROM met),
-passed AS (SELECT * FROM sc WHERE score >= 0.18)"""
+passed AS MATERIALIZED (SELECT * FROM sc WHERE score >= 0.18)"""
 
 
-@query("match_scores", f"WITH {MATCH_SQL} SELECT gap_id, direction_id, round(score, 6) AS score FROM passed")
+@query(
+    "match_scores",
+    f"""WITH {MATCH_SQL},
+unit AS (SELECT id, min(id) OVER (PARTITION BY role, list_sort(ts), list_sort(cs)) AS unit FROM side)
+SELECT gap_id AS gap_unit, direction_id AS direction_unit, round(score, 6) AS score FROM passed
+WHERE gap_id IN (SELECT unit FROM unit) AND direction_id IN (SELECT unit FROM unit)""",
+)
 def match_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of unit pairs, named for every row of the unit the check can see."""
     gaps, directions = matching_sides(spark, folder)
-    scores = decide.match_scores(gaps, directions)
-    g = gaps.select(F.col("unit").alias("gap_unit"), F.col("id").alias("gap_id"))
-    d = directions.select(F.col("unit").alias("direction_unit"), F.col("id").alias("direction_id"))
-    return scores.join(g, "gap_unit").join(d, "direction_unit").select("gap_id", "direction_id", F.round("score", 6).alias("score"))
+    return decide.match_scores(gaps, directions).withColumn("score", F.round("score", 6))
 
 
 @query(
     "greedy_matches",
     f"""WITH RECURSIVE {MATCH_SQL},
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, gap_id, direction_id) AS i FROM passed),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, gap_id, direction_id) AS i FROM passed),
 walk AS (
   SELECT 0 AS i, cast([] AS varchar[]) AS gs, cast([] AS varchar[]) AS ds, cast(NULL AS varchar) AS gap_id, cast(NULL AS varchar) AS direction_id, cast(NULL AS double) AS score
   UNION ALL

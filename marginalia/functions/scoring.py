@@ -67,7 +67,7 @@ def recency(published: Column, today: Column) -> Column:
     """Halves every sixty days; future dates count as today, bad ones as 0."""
     day = F.try_to_date(F.regexp_extract(F.coalesce(published, F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
     age = F.greatest(F.datediff(today, day), F.lit(0))
-    return F.coalesce(F.pow(F.lit(2.0), -age / RECENCY_HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(day.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -age / RECENCY_HALF_LIFE_DAYS))
 
 
 def reputation(accept: Column, reject: Column, prior: float = 1.0) -> Column:

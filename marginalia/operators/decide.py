@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from marginalia.functions import identity, prose
 from marginalia.functions.basics import bind, strip
 from marginalia.functions.scoring import PRIORITY_RANK, rank_of
+from marginalia.functions.tokens import jaccard_or_zero
 from marginalia.operators.harvest import first_of_each
 from marginalia.operators.ordering import numbered
 from marginalia.session import cut_lineage
@@ -76,8 +77,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
     Exact: candidates come from shared prefix tokens and compatible sizes, every
     candidate is then verified on the whole sets.
     """
-    lsets = distinct_sets(left)
-    rsets = lsets if same_side else distinct_sets(right)
+    lsets = cut_lineage(distinct_sets(left))
+    rsets = lsets if same_side else cut_lineage(distinct_sets(right))
     both = lsets if same_side else lsets.unionByName(rsets)
     order = both.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lp = _prefix_tokens(lsets, order, threshold).select(F.col("set_id").alias("left_id"), F.col("size").alias("lsize"), "token")
@@ -88,18 +89,35 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
     met = lp.join(rp, "token").where(fits)
     if same_side:
         met = met.where(F.col("left_id") < F.col("right_id"))
-    met = met.select("left_id", "right_id").distinct()
+    near = _near_pairs(
+        met.select("left_id", "right_id").distinct(),
+        lsets.select(F.col("set_id").alias("left_id"), "terms"),
+        rsets.select(F.col("set_id").alias("right_id"), "terms"),
+        threshold,
+    )
     lfull = lsets.select(F.col("set_id").alias("left_id"), F.col("terms").alias("lterms"), F.col("members").alias("left_members"))
     rfull = rsets.select(F.col("set_id").alias("right_id"), F.col("terms").alias("rterms"), F.col("members").alias("right_members"))
-    shared = F.size(F.array_intersect("lterms", "rterms"))
-    full = met.join(lfull, "left_id").join(rfull, "right_id").select(
-        "left_id", "right_id", "left_members", "right_members",
-        shared.alias("shared"), F.size("lterms").alias("lsize"), F.size("rterms").alias("rsize"),
-    )
-    value = F.col("shared") / (F.col("lsize") + F.col("rsize") - F.col("shared"))
-    return full.select("left_id", "right_id", "left_members", "right_members", value.alias("jaccard")).where(
-        F.col("jaccard") >= threshold
-    )
+    full = near.join(lfull, "left_id").join(rfull, "right_id")
+    return full.select(
+        "left_id", "right_id", "left_members", "right_members", jaccard_or_zero(F.col("lterms"), F.col("rterms")).alias("jaccard")
+    ).where(F.col("jaccard") >= threshold)
+
+
+def _near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``met`` whose hashed sets come up to the threshold.
+
+    Only eight bytes per token travel with each candidate. Two tokens may share
+    a hash, so one shared token is granted; the few pairs left are then verified
+    on the tokens themselves.
+    """
+    keys = met.columns
+    hashed = [
+        side.select(key, F.transform("terms", lambda t: F.xxhash64(t)).alias(name))
+        for side, key, name in ((left, keys[0], "lh"), (right, keys[1], "rh"))
+    ]
+    shared = F.size(F.array_intersect("lh", "rh")) + 1
+    close = shared >= threshold * (F.size("lh") + F.size("rh") - shared) - 1e-9
+    return met.join(hashed[0], keys[0]).join(hashed[1], keys[1]).where(close).select(*keys)
 
 
 # ---- gap x direction matching -------------------------------------------------
@@ -108,8 +126,9 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
 def match_units(rows: DataFrame) -> DataFrame:
     """Rows of equal words and concepts folded to units ``(unit, id)``."""
     keyed = rows.select("id", F.array_sort("terms").alias("terms"), F.array_sort(F.array_distinct("concepts")).alias("concepts"))
+    keyed = cut_lineage(keyed)
     units = keyed.groupBy("terms", "concepts").agg(F.min("id").alias("unit"))
-    return keyed.join(units, ["terms", "concepts"])
+    return cut_lineage(keyed.join(units, ["terms", "concepts"]))
 
 
 def _unit_sets(members: DataFrame) -> DataFrame:
@@ -130,20 +149,28 @@ def match_scores(gap_units: DataFrame, direction_units: DataFrame) -> DataFrame:
 
     def prefixes(side: DataFrame, threshold: float, name: str) -> DataFrame:
         sets = side.select(F.col("unit").alias("set_id"), "terms")
-        return _prefix_tokens(sets, order, threshold).select(F.col("set_id").alias(name), "token")
+        return _prefix_tokens(sets, order, threshold).select(F.col("set_id").alias(name), "token", F.col("size").alias(f"{name}_size"))
 
     def per_concept(side: DataFrame, name: str) -> DataFrame:
         concepts = side.select(F.col("unit").alias(name), F.explode("concepts").alias("concept"))
         return prefixes(side, MERGE_THRESHOLD - CONCEPT_BONUS_CAP, name).join(concepts, name)
 
     by_words = prefixes(left, MERGE_THRESHOLD, "gap_unit").join(prefixes(right, MERGE_THRESHOLD, "direction_unit"), "token")
+    by_words = by_words.where(
+        (F.col("gap_unit_size") >= MERGE_THRESHOLD * F.col("direction_unit_size"))
+        & (F.col("direction_unit_size") >= MERGE_THRESHOLD * F.col("gap_unit_size"))
+    )
     by_concept = per_concept(left, "gap_unit").join(per_concept(right, "direction_unit"), ["concept", "token"])
     pair = ["gap_unit", "direction_unit"]
-    met = by_words.select(*pair).unionByName(by_concept.select(*pair)).distinct()
+    met = _near_pairs(
+        by_words.select(*pair).unionByName(by_concept.select(*pair)).distinct(),
+        left.select(F.col("unit").alias("gap_unit"), "terms"),
+        right.select(F.col("unit").alias("direction_unit"), "terms"),
+        MERGE_THRESHOLD - CONCEPT_BONUS_CAP,
+    )
     g = left.select(F.col("unit").alias("gap_unit"), F.col("terms").alias("gt"), F.col("concepts").alias("gc"))
     d = right.select(F.col("unit").alias("direction_unit"), F.col("terms").alias("dt"), F.col("concepts").alias("dc"))
-    shared = F.size(F.array_intersect("gt", "dt"))
-    jaccard = shared / (F.size("gt") + F.size("dt") - shared)
+    jaccard = jaccard_or_zero(F.col("gt"), F.col("dt"))
     bonus = F.least(F.size(F.array_intersect("gc", "dc")) * CONCEPT_BONUS, F.lit(CONCEPT_BONUS_CAP))
     scored = met.join(g, "gap_unit").join(d, "direction_unit")
     return scored.select(*pair, F.round(jaccard + bonus, 9).alias("score")).where(F.col("score") >= MERGE_THRESHOLD)
@@ -161,31 +188,34 @@ def greedy_matches(gap_units: DataFrame, direction_units: DataFrame, scores: Dat
     pairs = cut_lineage(scores)
     gaps = cut_lineage(numbered(gap_units.select("unit", "id"), "unit", "id"))
     directions = cut_lineage(numbered(direction_units.select("unit", "id"), "unit", "id"))
-    used_gaps = gaps.select("unit").distinct().withColumn("used", F.lit(0).cast("bigint"))
-    used_directions = directions.select("unit").distinct().withColumn("used", F.lit(0).cast("bigint"))
     taken: DataFrame | None = None
     while True:
-        gap_heads = _heads(gaps, used_gaps, "gap")
-        direction_heads = _heads(directions, used_directions, "direction")
+        gap_heads = _heads(gaps, taken, "gap")
+        direction_heads = _heads(directions, taken, "direction")
         live = pairs.join(gap_heads, "gap_unit").join(direction_heads, "direction_unit")
         place = F.struct((-F.col("score")).alias("s"), F.col("gap_head").alias("g"), F.col("direction_head").alias("d"))
         live = cut_lineage(live.withColumn("place", place))
         if live.isEmpty():
             break
-        chosen = _mutual_firsts(live)
-        matched = cut_lineage(_paired_rows(chosen, gaps, directions))
+        matched = cut_lineage(_paired_rows(_mutual_firsts(live), gaps, directions))
         taken = matched if taken is None else taken.unionByName(matched)
-        used_gaps = cut_lineage(_advanced(used_gaps, matched, "gap"))
-        used_directions = cut_lineage(_advanced(used_directions, matched, "direction"))
         pairs = live.select("gap_unit", "direction_unit", "score")
     if taken is None:
         return pairs.select(F.col("gap_unit").alias("gap_id"), F.col("direction_unit").alias("direction_id"), "score")
     return taken.select("gap_id", "direction_id", "score")
 
 
-def _heads(members: DataFrame, used: DataFrame, side: str) -> DataFrame:
-    """Next free row of every unit that still has one."""
-    first = members.join(used, "unit").where(F.col("n") == F.col("used") + 1)
+def _heads(members: DataFrame, taken: DataFrame | None, side: str) -> DataFrame:
+    """Next free row of every unit that still has one.
+
+    Rows of a unit are taken in order, so the number taken tells the next one.
+    """
+    if taken is None:
+        first = members.where("n = 1").withColumn("used", F.lit(0).cast("bigint"))
+    else:
+        used = taken.groupBy(F.col(f"{side}_unit").alias("unit")).agg(F.count(F.lit(1)).alias("done"))
+        counted = members.join(used, "unit", "left").withColumn("used", F.coalesce("done", F.lit(0)))
+        first = counted.where(F.col("n") == F.col("used") + 1)
     return first.select(F.col("unit").alias(f"{side}_unit"), F.col("id").alias(f"{side}_head"), F.col("used").alias(f"{side}_used"))
 
 
@@ -220,11 +250,6 @@ def _paired_rows(chosen: DataFrame, gaps: DataFrame, directions: DataFrame) -> D
     return free(gaps, "gap").join(free(directions, "direction").drop("score"), ["gap_unit", "direction_unit", "nth"])
 
 
-def _advanced(used: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-    more = matched.groupBy(F.col(f"{side}_unit").alias("unit")).agg(F.count(F.lit(1)).alias("more"))
-    return used.join(more, "unit", "left").select("unit", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"))
-
-
 def targets(gaps: DataFrame, directions: DataFrame, matches: DataFrame) -> DataFrame:
     """Merged targets, lone gaps and lone directions.
 

@@ -78,7 +78,7 @@ def with_learned_prior(scored: DataFrame, sources: DataFrame, engines: DataFrame
         F.coalesce(F.col("source_rep") <= -0.5, F.lit(False)) | F.arrays_overlap(own, "reject_words"), F.lit(1.0)
     ).otherwise(F.lit(0.0))
     return joined.select(
-        *[F.col(c) for c in scored.columns],
+        *[F.col(c) for c in scored.columns if c not in ("rep", "penalty", "score")],
         rep.alias("rep"),
         penalty.alias("penalty"),
         scoring.learned_score(F.col("base_score"), rep, penalty).alias("score"),
