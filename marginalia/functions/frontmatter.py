@@ -18,7 +18,7 @@ BLOCK_CRLF = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|$)"
 
 
 def block(text: Column | str, pattern: str = BLOCK_AT_END) -> Column:
-    return F.regexp_extract(col(text), pattern, 1)
+    return F.replace(F.regexp_extract(col(text), pattern, 1), F.lit("\r\n"), F.lit("\n"))
 
 
 def body(text: Column | str, pattern: str = BLOCK_AT_END) -> Column:

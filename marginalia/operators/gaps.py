@@ -154,7 +154,7 @@ def gap_bullets(entries: Column) -> Column:
 
 
 def gap_files(gaps: DataFrame, existing: DataFrame, today: Column) -> DataFrame:
-    """``(path, text)`` of the page of every analysed gap; a known page keeps its creation day."""
+    """``(analysis_id, path, text)`` of every analysed gap's page; a known page keeps its creation day."""
     path = F.concat(F.lit("wiki/gap/"), F.col("id"), F.lit("-"), prose.gap_slug("title"), F.lit(".md"))
     day = F.date_format(today, "yyyy-MM-dd")
     old = existing.select("path", fm.scalar("text", "created").alias("was_created"))
@@ -167,7 +167,7 @@ def gap_files(gaps: DataFrame, existing: DataFrame, today: Column) -> DataFrame:
         F.lit("\n---\n\n## Missing\n"), F.col("missing"), F.lit("\n\n## Why\n"), F.col("why"),
         F.lit("\n\n## Shows up in\n"), gap_bullets(F.col("shows_up_in")), F.lit("\n"),
     )
-    return placed.select("path", text.alias("text"))
+    return placed.select("analysis_id", "path", text.alias("text"))
 
 
 def synthesis_directions(texts: DataFrame) -> DataFrame:

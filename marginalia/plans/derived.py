@@ -294,3 +294,177 @@ decided AS (
            || ' bucket' || json_extract_string(props, '$.k') ELSE '' END AS rejection_reason
     FROM events WHERE user_id % 10 <> 0 AND event_id % 4 <> 0)
   WHERE status IN ('ingested', 'pending', 'rejected'))"""
+
+
+NODE_TYPES = ["research_question", "direction", "research_question_proposal", "decision", "agent_todo"]
+NODE_PREFIXES = ["Q", "DIR", "QP", "D", "TODO"]
+PRIORITIES = ["high", "medium", "low", "urgent"]
+SCOPES = ["all", "wiki", "research", "web", "Q-0005", "else"]
+
+
+def objective_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as pages of objective nodes ``(doc_id, path, text)``."""
+    i = F.col("doc_id")
+    kind = _pick(i % 5, NODE_TYPES)
+    ident = F.format_string("%s-%04d", _pick(i % 5, NODE_PREFIXES), i)
+    status = (
+        F.when(i % 5 == 1, _pick(i % 3, ["open", "superseded", "open"]))
+        .when(i % 5 == 2, _pick(i % 4, ["pending", "pending", "approved", "pending"]))
+        .when(i % 5 == 3, _pick(i % 3, ["active", "retired", ""])).otherwise(F.lit("open"))
+    )
+    served = F.concat(
+        F.format_string("Q-%04d", i - 1), F.when(i % 2 == 0, F.format_string(", Q-%04d", i - 6)).otherwise(F.lit(""))
+    )
+    lines = F.concat(
+        F.lit("---\ntype: "), kind, F.lit("\nid: "), ident,
+        F.lit("\ncreated: "), F.format_string("2023-%02d-%02d", i % 12 + 1, i % 28 + 1),
+        F.lit("\nstatus: "), status, F.lit("\npriority: "), _pick(i % 4, PRIORITIES),
+        F.lit("\nsolved: "), F.when(i % 3 == 0, "yes").otherwise("no"),
+        F.lit("\nscope: "), _pick(i % 6, SCOPES), F.lit("\nserves_question: "), served,
+        F.when(i % 7 == 0, F.lit("\nrelated:")).otherwise(
+            F.concat(F.lit("\nrelated: [[wiki/concepts/"), "lang", F.lit("]], [[concepts/"), "source", F.lit("|x]]"))
+        ),
+        F.lit("\nfrom_gap: Q-0010 and Q-0011"),
+        F.when(i % 2 == 0, F.lit("\ngenerated_by: wiki")).otherwise(F.lit("")), F.lit("\n---\n"),
+    )
+    path = F.concat(F.lit("objective/"), kind, F.lit("/"), ident, F.lit("-x.md"))
+    body = F.concat("text", F.lit(" See "), F.format_string("Q-%04d", i % 50), F.lit(" and [[Q-0005]]."))
+    return read_table(spark, folder, "documents").select("doc_id", path.alias("path"), F.concat(lines, body).alias("text"))
+
+
+NODES_SQL = """
+nodes AS (
+  SELECT doc_id, k, ['research_question', 'direction', 'research_question_proposal', 'decision', 'agent_todo'][1 + k] AS type,
+    ['Q', 'DIR', 'QP', 'D', 'TODO'][1 + k] || '-' || printf('%04d', doc_id) AS id,
+    'objective/' || ['research_question', 'direction', 'research_question_proposal', 'decision', 'agent_todo'][1 + k] || '/' || ['Q', 'DIR', 'QP', 'D', 'TODO'][1 + k] || '-' || printf('%04d', doc_id) || '-x.md' AS path,
+    printf('2023-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1) AS created,
+    CASE k WHEN 1 THEN ['open', 'superseded', 'open'][1 + doc_id % 3] WHEN 2 THEN ['pending', 'pending', 'approved', 'pending'][1 + doc_id % 4]
+           WHEN 3 THEN ['active', 'retired', ''][1 + doc_id % 3] ELSE 'open' END AS status,
+    ['high', 'medium', 'low', 'urgent'][1 + doc_id % 4] AS priority, CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END AS solved,
+    ['all', 'wiki', 'research', 'web', 'Q-0005', 'else'][1 + doc_id % 6] AS scope,
+    list_concat([printf('Q-%04d', doc_id - 1)], CASE WHEN doc_id % 2 = 0 THEN [printf('Q-%04d', doc_id - 6)] ELSE [] END) AS served,
+    CASE WHEN doc_id % 7 = 0 THEN [] ELSE [lang, source] END AS concepts,
+    text || ' See ' || printf('Q-%04d', doc_id % 50) || ' and [[Q-0005]].' AS body
+  FROM (SELECT *, doc_id % 5 AS k FROM documents))"""
+
+
+def review_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """``conversations`` turns as checkbox reports, one block per sentence."""
+    sentences = F.split("text", r"\. ")
+    base = F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), F.col("turn"))
+
+    def block(s: Column, i: Column) -> Column:
+        ident = F.concat(base, F.lit("-"), i)
+        n = F.length(s)
+        return F.concat(
+            F.lit("### "), i + 1, F.lit(". entry\n- **url**: http://x.example/"), ident,
+            F.lit("\n- ["), F.when(n % 4 < 2, "x").otherwise(" "), F.lit("] approve · `"), ident,
+            F.lit("`\n- ["), F.when((n % 4 == 1) | (n % 4 == 2), "X").otherwise(" "), F.lit("] reject · `"), ident,
+            F.lit("`\n    - reason: "), F.regexp_extract(s, r"^(\S*)", 1), F.lit("\n"),
+        )
+
+    body = F.array_join(F.transform(sentences, block), "\n")
+    decoy = F.concat(F.lit("\n## Decision trace\n### 99. decoy\n- [x] approve · `"), base, F.lit("-decoy`\n"))
+    head = F.concat(F.lit("# Report\n- [x] approve · `"), base, F.lit("-0`\n\n"))
+    return read_table(spark, folder, "conversations").select(base.alias("report_id"), F.concat(head, body, decoy).alias("text"))
+
+
+REPORTS_SQL = r"""
+sent AS (SELECT 'c' || conv_id || 't' || turn AS report_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT *, string_split(text, '. ') AS ss FROM conversations)),
+marks AS (SELECT report_id, report_id || '-' || i AS id, length(s) % 4 IN (0, 1) OR i = 0 AS a, i > 0 AND length(s) % 4 IN (1, 2) AS r, s, i, length(s) % 4 AS m FROM sent),
+acts AS (SELECT report_id, id, CASE WHEN i = 0 THEN 'approve' WHEN m = 1 THEN 'conflict' WHEN m = 0 THEN 'approve' WHEN m = 2 THEN 'reject' ELSE 'deferred' END AS action,
+   CASE WHEN i > 0 AND m IN (1, 2) THEN regexp_extract(s, '^(\S*)', 1) ELSE '' END AS reason, i, s FROM marks)"""
+
+
+def cited_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` with paper citations appended, as wiki pages."""
+    i = F.col("doc_id")
+    cites = F.concat(
+        F.lit("\n\nSee arXiv: 2401."), F.lpad((i % 60).cast("string"), 5, "0"), F.lit("v2 and https://arxiv.org/abs/2305."),
+        F.lpad((i % 7).cast("string"), 5, "0"), F.lit(" plus https://doi.org/10.1000/AbC"), i % 30, F.lit(").\n"),
+    )
+    path = F.concat(F.lit("wiki/sources/"), "source", F.lit("-"), i, F.lit(".md"))
+    return read_table(spark, folder, "documents").select("doc_id", path.alias("path"), F.concat("text", cites).alias("text"))
+
+
+CITED_SQL = """
+cite AS (
+  SELECT 'wiki/sources/' || source || '-' || doc_id AS page, 'arxiv:2401.' || lpad(cast(doc_id % 60 AS varchar), 5, '0') AS id, 'arxiv' AS id_type FROM documents
+  UNION ALL SELECT 'wiki/sources/' || source || '-' || doc_id, 'arxiv:2305.' || lpad(cast(doc_id % 7 AS varchar), 5, '0'), 'arxiv' FROM documents
+  UNION ALL SELECT 'wiki/sources/' || source || '-' || doc_id, 'doi:10.1000/abc' || (doc_id % 30), 'doi' FROM documents)"""
+
+
+def gap_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """``benchmark`` items as gap pages ``(item_id, path, text)``."""
+    i = F.col("item_id")
+    ident = F.format_string("GAP-%02d", i)
+    text = F.concat(
+        F.lit("---\r\nid: "), F.when(i % 3 == 0, F.lit("")).otherwise(ident), F.lit("\r\ntitle: \"Title "), i,
+        F.lit("\"\r\nstatus: "), _pick(i % 4, ["open", "filled", "", "Open"]),
+        F.lit("\r\npriority: "), _pick(i % 3, ["High - now", "low", "whatever"]),
+        F.lit("\r\nfillable_by: [arxiv, \"web\", ArXiv]\r\nconcepts:\r\n  - \"[[wiki/concepts/c"), i % 5, F.lit("|x]]\"\r\n  - \"[[concepts/d]]\"\r\n---\r\n\n## Missing\n"),
+        "text", F.lit("\n\n## Shows up in\n- [[wiki/sources/src"), i % 20, F.lit("-"), i, F.lit("#a]]\n- [[wiki/sources/src1-1|b]]\n\n## Other\nx\n"),
+    )
+    return read_table(spark, folder, "benchmark").select(
+        "item_id", F.concat(F.lit("wiki/gap/"), ident, F.lit("-slug.md")).alias("path"), text.alias("text")
+    )
+
+
+def direction_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """``benchmark`` items as direction pages ``(item_id, path, text)``."""
+    i = F.col("item_id")
+    ident = F.format_string("DIR-%04d", i)
+    text = F.concat(
+        F.lit("---\nid: "), ident, F.lit("\nstatus: "), _pick(i % 3, ["open", "Open", "done"]),
+        F.lit("\nserves_question: Q-0001, Q-0002\nrelated: [[wiki/concepts/c"), i % 5,
+        F.lit("]]\ntargets_gap: \"gap "), i, F.lit("\"\npriority: "), _pick(i % 3, ["high", "LOW x", ""]),
+        F.lit("\n---\n\n## seed_queries\n- arxiv: [[wiki/x/One|one]] **two** [3]\n- Web: plain "), i, F.lit("\n- just words\n-\n- [4]\n\n## expected_evidence\n"),
+        "text", F.lit("\n\n## solves_when\ndone\n"),
+    )
+    return read_table(spark, folder, "benchmark").select(
+        "item_id", F.concat(F.lit("objective/direction/"), ident, F.lit(".md")).alias("path"), text.alias("text")
+    )
+
+
+def gap_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    """``benchmark`` items as gap analyses, one block per sentence."""
+    sentences = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")
+
+    def block(s: Column, i: Column) -> Column:
+        return F.concat(
+            F.lit("### GAP-"), i + 1, F.lit(": About "), i + 1, F.lit("\n- shows_up_in: [[wiki/a]] here ; plain\n- missing: "), s,
+            F.lit("\n  more\n- fillable_by: arxiv (papers), Web\n- "),
+            F.when(i % 2 == 0, F.lit("concepts: [[wiki/concepts/kv-cache]]")).otherwise(F.lit("topic: kv-cache and moe-routing")),
+            F.lit("\n- priority: "), F.when(i % 3 == 0, F.lit("High - it matters")).otherwise(F.lit("soon")), F.lit("\n"),
+        )
+
+    text = F.concat(
+        F.lit("intro\n## Knowledge Gaps\n"), F.array_join(F.transform(sentences, block), "\n"),
+        F.lit("\n## Coverage Map\ncover "), F.col("item_id"), F.lit("\n\n## Stale / Unverified\nold\n## Open-Question Harvest\n- one\n- two\n## Self-contained\nself\n\nREADY\n"),
+    )
+    return read_table(spark, folder, "benchmark").select(F.col("item_id").alias("analysis_id"), text.alias("text"))
+
+
+ANALYSES_SQL = """
+asent AS (SELECT item_id AS analysis_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT item_id, string_split(replace(text, chr(10), ' '), '. ') AS ss FROM benchmark))"""
+
+
+def synthesis_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``benchmark`` items as synthesis replies with directions and proposals."""
+    one_line = F.replace("text", F.lit("\n"), F.lit(" "))
+    sentences = F.split(one_line, r"\. ")
+
+    def direction(s: Column, i: Column) -> Column:
+        return F.concat(
+            F.lit("### DIRECTION: D"), i, F.lit("\n- Serves question: Q-000"), i % 9, F.lit("\n- targets_gap: "), s,
+            F.lit("\n- priority: low\n- priority: high\n- ignored: x\n"),
+        )
+
+    def proposal(s: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, F.concat(F.lit("- proposal: p"), i, F.lit(" | why: "), F.regexp_replace(s, "[|:]", ""))).otherwise(F.lit("- other"))
+
+    text = F.concat(
+        F.lit("## Directions\n"), F.array_join(F.transform(sentences, direction), "\n"),
+        F.lit("\n## Proposed New Research Questions\n"), F.array_join(F.transform(sentences, proposal), "\n"), F.lit("\n## End\n- proposal: late\n"),
+    )
+    return read_table(spark, folder, "benchmark").select(F.col("item_id").alias("text_id"), text.alias("text"))
