@@ -262,6 +262,11 @@ DECISION_STATUS = {"purchase": "ingested", "signup": "pending", "error": "reject
 
 def decision_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as decided ledger rows."""
+    return decisions_of(read_table(spark, folder, "events"))
+
+
+def decisions_of(events: DataFrame) -> DataFrame:
+    """Decided ledger rows of a batch or stream of events."""
     u, i = F.col("user_id"), F.col("event_id")
     status = F.lit(None).cast("string")
     for event, name in DECISION_STATUS.items():
@@ -270,7 +275,7 @@ def decision_rows(spark: SparkSession, folder: str) -> DataFrame:
         " ", F.lit("too much"), _pick(i % 3, ["vendor noise", "marketing", "stale duplicate"]),
         F.concat(F.lit("bucket"), F.get_json_object("props", "$.k")),
     )
-    return read_table(spark, folder, "events").select(
+    return events.select(
         i.alias("id"),
         status.alias("status"),
         F.when(u % 10 == 0, "research").otherwise("web").alias("discovered_by"),
