@@ -85,7 +85,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
     made = codebase.manifests(found)
     return made.select(
         "path", "kind", "name",
-        F.array_join(F.array_sort("dependencies"), ",").alias("dependencies"), F.array_join("entry_points", ",").alias("entry_points"),
+        F.array_join(F.sort_array("dependencies"), ",").alias("dependencies"), F.array_join("entry_points", ",").alias("entry_points"),
     )
 
 

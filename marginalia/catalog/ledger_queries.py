@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.basics import present
 from marginalia.catalog.base import query
 from marginalia.operators import sources_ledger as led
 from marginalia.session import read_table
@@ -37,7 +38,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("o_orderkey")
     base = read_table(spark, folder, "orders").where(k % 4 != 1)
     copies = F.when(k % 8 == 0, F.array(F.lit("notes"), F.lit("papers"))).otherwise(F.array(F.lit("notes")))
-    return base.select(k.alias("k"), "o_totalprice", F.explode(copies).alias("place")).select(
+    return base.select(k.alias("k"), "o_totalprice", F.explode_outer(copies).alias("place")).where(present("place")).select(
         F.concat(F.lit("id:o"), "k").alias("id"),
         F.lit("explicit").alias("id_type"),
         F.concat(F.lit("File "), "k", F.lit(" "), "place").alias("title"),

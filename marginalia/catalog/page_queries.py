@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.basics import present
 from marginalia.catalog import fragments as fr
 from marginalia.catalog.base import query
 from marginalia.functions import identity, prose
@@ -136,7 +137,7 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
 
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
     targets = F.transform(hrefs, prose.link_target)
-    counted = pages(spark, folder).select(F.explode(term_counts(targets)).alias("c"))
+    counted = pages(spark, folder).select(F.explode_outer(term_counts(targets)).alias("c")).where(present("c"))
     return counted.groupBy(F.col("c.term").alias("target")).agg(F.sum("c.tf").alias("uses"), F.count(F.lit(1)).alias("pages"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.catalog import fragments as fr
 from marginalia.catalog.base import query
 from marginalia.functions import identity, prose, tokens
-from marginalia.functions.basics import bind, long_size
+from marginalia.functions.basics import bind, long_size, present
 from marginalia.operators import retrieval
 from marginalia.session import read_table
 
@@ -63,7 +63,7 @@ p AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])
 SELECT pair, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM p GROUP BY pair HAVING count(*) >= 3""",
 )
 def bigram_counts(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = docs(spark, folder).select(F.explode(tokens.term_counts(tokens.word_pairs(tokens.query_terms("text")))).alias("c"))
+    pairs = docs(spark, folder).select(F.explode_outer(tokens.term_counts(tokens.word_pairs(tokens.query_terms("text")))).alias("c")).where(present("c"))
     return (
         pairs.groupBy(F.col("c.term").alias("pair"))
         .agg(F.sum("c.tf").alias("uses"), F.count(F.lit(1)).alias("docs"))

@@ -49,3 +49,13 @@ def count_of(c: Column | None = None) -> Column:
 
 def long_size(items: Column) -> Column:
     return F.size(items).cast("bigint")
+
+
+def present(name: str) -> Column:
+    """Row filter behind an outer explode.
+
+    A plain explode makes Spark derive a filter on the array's size and push it
+    to the scan, where a computed array is then evaluated a second time. An
+    outer explode followed by this filter evaluates it once.
+    """
+    return F.col(name).isNotNull()

@@ -170,7 +170,7 @@ def term_counts(words: Column) -> Column:
         )
 
     empty = F.expr("cast(array() as array<struct<term:string,tf:bigint>>)")
-    return bind(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(empty))
+    return bind(F.sort_array(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(empty))
 
 
 def count_in(text: Column, piece: Column) -> Column:

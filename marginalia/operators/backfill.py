@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import identity, prose
-from marginalia.functions.basics import all_matches, blank_to_null, first_match, strip
+from marginalia.functions.basics import all_matches, blank_to_null, first_match, present, strip
 
 GAP_SCORE = 1.0
 WIKI_SCORE = 0.5
@@ -32,7 +32,7 @@ def cited_pages(pages: DataFrame) -> DataFrame:
             F.concat(F.lit("doi:"), F.lower(F.regexp_replace(x, identity.DOI_TAIL, ""))).alias("id"), F.lit("doi").alias("id_type")
         ),
     )
-    return pages.select("path", F.explode(F.array_distinct(F.concat(papers, dois))).alias("c")).select("c.id", "c.id_type", "path")
+    return pages.select("path", F.explode_outer(F.array_distinct(F.concat(papers, dois))).alias("c")).where(present("c")).select("c.id", "c.id_type", "path")
 
 
 def gap_references(gaps: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def gap_references(gaps: DataFrame) -> DataFrame:
     links = all_matches(prose.section(text, "Shows up in"), r"\[\[(wiki/[^\]|#]+)", 1)
     return (
         gaps.where(status == "open")
-        .select(named.alias("gap_id"), F.explode(F.array_distinct(links)).alias("page"))
+        .select(named.alias("gap_id"), F.explode_outer(F.array_distinct(links)).alias("page")).where(present("page"))
         .select(F.regexp_replace(strip("page"), "/+$", "").alias("page"), "gap_id")
         .distinct()
     )
@@ -90,14 +90,14 @@ def backfill_set(cited: DataFrame, status: DataFrame, references: DataFrame) ->
         edges.withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= RATIONALE_PAGES)
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list("page")).alias("first_pages"))
+        .agg(F.sort_array(F.collect_list("page")).alias("first_pages"))
     )
     gaps = (
         edges.join(references, "page")
         .select("id", "gap_id")
         .distinct()
         .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("gaps"), F.array_sort(F.collect_list("gap_id")).alias("gap_refs"))
+        .agg(F.count(F.lit(1)).alias("gaps"), F.sort_array(F.collect_list("gap_id")).alias("gap_refs"))
     )
     found = wanted.join(first, "id").join(gaps, "id", "left")
     has_gap = F.col("gaps").isNotNull()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions import identity, prose
-from marginalia.functions.basics import bind, strip
+from marginalia.functions.basics import bind, present, strip
 from marginalia.functions.scoring import PRIORITY_RANK, rank_of
 from marginalia.functions.tokens import jaccard_or_zero
 from marginalia.operators.harvest import first_of_each
@@ -43,13 +43,13 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     Copies meet once: the set is keyed by its hash, the smallest id stands for
     all members.
     """
-    keyed = rows.select("id", F.array_sort("terms").alias("terms"))
+    keyed = rows.select("id", F.sort_array("terms").alias("terms"))
     return keyed.groupBy("terms").agg(F.min("id").alias("set_id"), F.count(F.lit(1)).alias("members"))
 
 
 def set_members(rows: DataFrame) -> DataFrame:
     """``(id, set_id)``: which representative stands for each row."""
-    keyed = rows.select("id", F.xxhash64(F.array_sort("terms")).alias("h"), F.array_sort("terms").alias("terms"))
+    keyed = rows.select("id", F.xxhash64(F.sort_array("terms")).alias("h"), F.sort_array("terms").alias("terms"))
     reps = keyed.groupBy("h", "terms").agg(F.min("id").alias("set_id"))
     return keyed.join(reps, ["h", "terms"]).select("id", "set_id")
 
@@ -60,13 +60,13 @@ def _prefix_tokens(sets: DataFrame, order: DataFrame, threshold: float) -> DataF
     Two sets with Jaccard ``t`` share at least ``ceil(t * size)`` tokens of
     each, so one of the first ``size - ceil(t * size) + 1`` tokens is shared.
     """
-    tokens = sets.select("set_id", F.size("terms").alias("size"), F.explode("terms").alias("token"))
+    tokens = sets.select("set_id", F.size("terms").alias("size"), F.explode_outer("terms").alias("token")).where(present("token"))
     ranked = tokens.join(order, "token").groupBy("set_id", "size").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity")
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_rarity")
     )
     need = F.ceil(F.round(F.col("size") * threshold, 9))
     keep = (F.col("size") - F.greatest(need, F.lit(1)) + 1).cast("int")
-    return ranked.select("set_id", "size", F.explode(F.slice("by_rarity", 1, F.greatest(keep, F.lit(1)))).alias("t")).select(
+    return ranked.select("set_id", "size", F.explode_outer(F.slice("by_rarity", 1, F.greatest(keep, F.lit(1)))).alias("t")).where(present("t")).select(
         "set_id", "size", F.col("t.token").alias("token")
     )
 
@@ -80,7 +80,7 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
     lsets = cut_lineage(distinct_sets(left))
     rsets = lsets if same_side else cut_lineage(distinct_sets(right))
     both = lsets if same_side else lsets.unionByName(rsets)
-    order = both.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = both.select(F.explode_outer("terms").alias("token")).where(present("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lp = _prefix_tokens(lsets, order, threshold).select(F.col("set_id").alias("left_id"), F.col("size").alias("lsize"), "token")
     rp = lp.select(F.col("left_id").alias("right_id"), F.col("lsize").alias("rsize"), "token") if same_side else _prefix_tokens(
         rsets, order, threshold
@@ -125,7 +125,7 @@ def _near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, threshold: fl
 
 def match_units(rows: DataFrame) -> DataFrame:
     """Rows of equal words and concepts folded to units ``(unit, id)``."""
-    keyed = rows.select("id", F.array_sort("terms").alias("terms"), F.array_sort(F.array_distinct("concepts")).alias("concepts"))
+    keyed = rows.select("id", F.sort_array("terms").alias("terms"), F.sort_array(F.array_distinct("concepts")).alias("concepts"))
     keyed = cut_lineage(keyed)
     units = keyed.groupBy("terms", "concepts").agg(F.min("id").alias("unit"))
     return cut_lineage(keyed.join(units, ["terms", "concepts"]))
@@ -145,14 +145,14 @@ def match_scores(gap_units: DataFrame, direction_units: DataFrame) -> DataFrame:
     """
     left, right = _unit_sets(gap_units), _unit_sets(direction_units)
     every = left.select("terms").unionByName(right.select("terms"))
-    order = every.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = every.select(F.explode_outer("terms").alias("token")).where(present("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def prefixes(side: DataFrame, threshold: float, name: str) -> DataFrame:
         sets = side.select(F.col("unit").alias("set_id"), "terms")
         return _prefix_tokens(sets, order, threshold).select(F.col("set_id").alias(name), "token", F.col("size").alias(f"{name}_size"))
 
     def per_concept(side: DataFrame, name: str) -> DataFrame:
-        concepts = side.select(F.col("unit").alias(name), F.explode("concepts").alias("concept"))
+        concepts = side.select(F.col("unit").alias(name), F.explode_outer("concepts").alias("concept")).where(present("concept"))
         return prefixes(side, MERGE_THRESHOLD - CONCEPT_BONUS_CAP, name).join(concepts, name)
 
     by_words = prefixes(left, MERGE_THRESHOLD, "gap_unit").join(prefixes(right, MERGE_THRESHOLD, "direction_unit"), "token")
@@ -331,7 +331,7 @@ def routed_sources(wanted: DataFrame, registry: DataFrame, reputations: DataFram
             "rep", F.coalesce("rep", F.lit(0.0))
         )
     base = F.round(F.col("relevance") + F.col("rep"), 6)
-    tags = wanted.select("target_id", "keywords", F.posexplode("fillable_by").alias("tag_pos", "tag")).withColumn(
+    tags = wanted.select("target_id", "keywords", F.posexplode_outer("fillable_by").alias("tag_pos", "tag")).where(present("tag_pos")).withColumn(
         "tag", F.lower("tag")
     )
 
@@ -378,13 +378,13 @@ def _keyword_routes(tags: DataFrame, reg: DataFrame, base: Column) -> DataFrame:
     asked = (
         tags.select("keywords")
         .distinct()
-        .select("keywords", F.explode(F.transform("keywords", lambda k: F.lower(k))).alias("kw"))
+        .select("keywords", F.explode_outer(F.transform("keywords", lambda k: F.lower(k))).alias("kw")).where(present("kw"))
         .where("kw <> ''")
         .groupBy("keywords", "kw")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     words = asked.select("kw").distinct().withColumn("gram", F.substring("kw", 1, 4))
-    pieces = feeds.select("source_id", "base", "focus", F.explode(_grams(F.col("focus"))).alias("gram"))
+    pieces = feeds.select("source_id", "base", "focus", F.explode_outer(_grams(F.col("focus"))).alias("gram")).where(present("gram"))
     hits = words.join(pieces, "gram").where(F.contains("focus", F.col("kw"))).select("kw", "source_id", "base")
     scored = asked.join(hits, "kw").groupBy("keywords", "source_id", "base").agg(F.sum("times").alias("hits"))
     valued = scored.select("keywords", "source_id", F.round(F.col("base") + F.col("hits") * 0.5, 6).alias("value"))

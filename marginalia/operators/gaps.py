@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import prose
-from marginalia.functions.basics import all_matches, bind, blank_to_null, first_match, lines_of, nonblank, strip
+from marginalia.functions.basics import all_matches, bind, blank_to_null, first_match, lines_of, nonblank, present, strip
 
 # Tags, fields and prompt-side formats.
 ENGINE_TAGS = r"(?i)\b(arxiv|web|github|forum|x)\b"
@@ -96,7 +96,7 @@ def analysis_gaps(analyses: DataFrame) -> DataFrame:
     pieces = F.filter(
         F.split(F.concat(F.lit("\n"), part), r"\n(?=###\s+GAP-)"), lambda b: F.rlike(b, F.lit(r"^###\s+GAP-\d+:\s*\S"))
     )
-    found = analyses.select("analysis_id", F.explode(pieces).alias("block"))
+    found = analyses.select("analysis_id", F.explode_outer(pieces).alias("block")).where(present("block"))
 
     def field(name: str) -> Column:
         return strip(F.regexp_extract("block", rf"(?ms)^-\s+{name}:\s*(.+?)(?=\n-\s+\w|\z)", 1))
@@ -176,7 +176,7 @@ def synthesis_directions(texts: DataFrame) -> DataFrame:
         F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=### DIRECTION:|## )"),
         lambda b: F.startswith(b, F.lit("### DIRECTION:")),
     )
-    found = texts.select("text_id", F.posexplode(pieces).alias("pos", "block"))
+    found = texts.select("text_id", F.posexplode_outer(pieces).alias("pos", "block")).where(present("pos"))
 
     def field(name: str) -> Column:
         spelled = name.replace("_", "[ _]")
@@ -206,7 +206,7 @@ def synthesis_proposals(texts: DataFrame) -> DataFrame:
         )
         return bind(entries, fm.last_wins)
 
-    found = texts.select("text_id", F.posexplode(F.transform(kept, fields)).alias("pos", "fields"))
+    found = texts.select("text_id", F.posexplode_outer(F.transform(kept, fields)).alias("pos", "fields")).where(present("pos"))
     return found.where(F.coalesce(F.try_element_at("fields", F.lit("proposal")), F.lit("")) != "")
 
 
@@ -231,7 +231,7 @@ def reformulated_queries(replies: DataFrame) -> DataFrame:
         lambda v: v["raw"].isNull() | F.exists(F.map_values(v["raw"]), lambda q: ~F.rlike(F.coalesce(q, F.lit("")), F.lit(r"^\s*\["))),
     )
     good = read.where(F.col("targets").isNotNull()).withColumn("shaped", shaped).where(~bad)
-    return good.select("reply_id", F.explode("shaped").alias("target_id", "v")).select(
+    return good.select("reply_id", F.explode_outer("shaped").alias("target_id", "v")).where(present("target_id")).select(
         "reply_id", "target_id", F.col("v.p.queries_by_engine").alias("queries"), F.coalesce("v.p.rationale", F.lit("")).alias("rationale")
     )
 

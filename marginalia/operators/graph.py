@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import prose
-from marginalia.functions.basics import lines_of, strip
+from marginalia.functions.basics import lines_of, present, strip
 
 # Required keys, areas and allowed values of the audit.
 WIKI_KEYS = ["type", "created", "updated", "sources"]
@@ -64,7 +64,7 @@ def skippable() -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``(path, area, stem, target)``, one row per link occurrence."""
-    return pages.select("path", "area", "stem", "name", F.explode(prose.wiki_links("text")).alias("target"))
+    return pages.select("path", "area", "stem", "name", F.explode_outer(prose.wiki_links("text")).alias("target")).where(present("target"))
 
 
 def link_targets(links: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def missing_pages(pages: DataFrame, mentions: int = 2) -> DataFrame:
     """
     named = pages.select(F.col("stem").alias("term")).distinct()
     linked = pages.where(~F.startswith("name", F.lit("_"))).select(
-        F.explode(F.array_distinct(prose.raw_links("text"))).alias("term")
-    )
+        F.explode_outer(F.array_distinct(prose.raw_links("text"))).alias("term")
+    ).where(present("term"))
     counted = linked.groupBy("term").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= mentions)
     return counted.join(named, "term", "left_anti")
 
@@ -117,8 +117,8 @@ def missing_pages(pages: DataFrame, mentions: int = 2) -> DataFrame:
 def missing_page_sources(pages: DataFrame, mentions: int = 2) -> DataFrame:
     """The citing pages of :func:`missing_pages` in edge form."""
     linked = pages.where(~F.startswith("name", F.lit("_"))).select(
-        "path", F.explode(F.array_distinct(prose.raw_links("text"))).alias("term")
-    )
+        "path", F.explode_outer(F.array_distinct(prose.raw_links("text"))).alias("term")
+    ).where(present("term"))
     return linked.join(missing_pages(pages, mentions), "term")
 
 
@@ -144,7 +144,7 @@ def empty_sections(pages: DataFrame) -> DataFrame:
     )
     return (
         pages.where(~F.startswith("name", F.lit("_")))
-        .select("path", F.explode(F.filter(cut, lambda s: s["body"] == "")).alias("s"))
+        .select("path", F.explode_outer(F.filter(cut, lambda s: s["body"] == "")).alias("s")).where(present("s"))
         .select("path", F.col("s.heading").alias("heading"))
     )
 
@@ -170,7 +170,7 @@ def page_checks(pages: DataFrame, today: Column) -> DataFrame:
         F.regexp_extract("text", r"(?s)\A---.*?^updated[ \t]*:[ \t]*([\"'][^\n]*)$.*?---".replace("(?s)", "(?sm)"), 1).alias("updated"),
         F.length(strip(F.regexp_replace("text", head, ""))).alias("body_chars"),
     )
-    absent = F.array_sort(F.array_except(_required(F.col("type")), F.col("keys")))
+    absent = F.sort_array(F.array_except(_required(F.col("type")), F.col("keys")))
     quoted_day = F.try_to_date(F.substring(fm.unquote_all(strip("updated")), 1, 10), "yyyy-MM-dd")
 
     def found(check: str, when: Column, detail: Column | None = None) -> Column:
@@ -192,7 +192,7 @@ def page_checks(pages: DataFrame, today: Column) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    return read.select("area", "path", F.explode(results).alias("r")).select("area", "r.check", "path", "r.detail")
+    return read.select("area", "path", F.explode_outer(results).alias("r")).where(present("r")).select("area", "r.check", "path", "r.detail")
 
 
 def audit(pages: DataFrame, today: Column) -> DataFrame:
@@ -253,6 +253,6 @@ def lint_counts(pages: DataFrame) -> DataFrame:
 
 def heading_lines(texts: DataFrame) -> DataFrame:
     """``(id, line_no, heading)`` of every heading line of ``texts(id, text)``."""
-    return texts.select("id", F.posexplode(lines_of("text")).alias("line_no", "line")).where(
+    return texts.select("id", F.posexplode_outer(lines_of("text")).alias("line_no", "line")).where(present("line_no")).where(
         F.rlike("line", F.lit(r"^#{1,6}\s+"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import identity, prose
-from marginalia.functions.basics import blank_to_null, strip
+from marginalia.functions.basics import blank_to_null, present, strip
 
 CANDIDATE_COLUMNS = ["title", "url", "source_id", "id_type", "published", "snippet", "engine"]
 SNIPPET_CHARS = 500
@@ -80,13 +80,13 @@ def abstract_of_positions(index: Column) -> Column:
             lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word"))),
         )
     )
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ")
 
 
 def _items(payloads: DataFrame, schema: str, path: str) -> DataFrame:
     """One row per item; a payload that is no valid JSON yields none."""
     read = payloads.select(F.from_json("payload", schema.replace("\n", "")).alias("p"))
-    return read.select(F.explode(F.col(f"p.{path}") if path else F.col("p")).alias("r"))
+    return read.select(F.explode_outer(F.col(f"p.{path}") if path else F.col("p")).alias("r")).where(present("r"))
 
 
 def openalex_results(payloads: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def lobsters_results(payloads: DataFrame) -> DataFrame:
     bare = F.from_json("payload", f"array<{LOBSTERS_STORY}>")
     wrapped = F.from_json("payload", f"struct<stories:array<{LOBSTERS_STORY}>>")["stories"]
     stories = F.when(F.rlike("payload", F.lit(r"^\s*\[")), bare).otherwise(wrapped)
-    return payloads.select(F.explode(F.slice(stories, 1, LOBSTERS_LIMIT)).alias("r")).select(
+    return payloads.select(F.explode_outer(F.slice(stories, 1, LOBSTERS_LIMIT)).alias("r")).where(present("r")).select(
         F.col("r.title").alias("title"),
         F.coalesce(blank_to_null(F.col("r.url")), F.col("r.short_id_url")).alias("url"),
         F.col("r.description").alias("snippet"),
@@ -152,8 +152,8 @@ def lobsters_results(payloads: DataFrame) -> DataFrame:
 def release_candidates(payloads: DataFrame) -> DataFrame:
     """Releases ``(repo_url, source_id, payload)`` of code repositories."""
     read = payloads.select(
-        "source_id", identity.repo_of_url(F.col("repo_url")).alias("repo"), F.explode(F.from_json("payload", RELEASES)).alias("r")
-    )
+        "source_id", identity.repo_of_url(F.col("repo_url")).alias("repo"), F.explode_outer(F.from_json("payload", RELEASES)).alias("r")
+    ).where(present("r"))
     title = F.concat(F.col("repo"), F.lit(" "), F.coalesce(blank_to_null(F.col("r.name")), F.col("r.tag_name")))
     return read.select(
         *candidate(

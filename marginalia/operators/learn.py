@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions import scoring
-from marginalia.functions.basics import blank_to_null, strip
+from marginalia.functions.basics import blank_to_null, present, strip
 from marginalia.functions.tokens import alnum_words, reason_keywords
 
 # Status classes and list sizes.
@@ -46,13 +46,13 @@ def updated_reputations(prior: DataFrame, decisions: DataFrame, key: str, streng
 def protected_terms(texts: DataFrame) -> DataFrame:
     """Words of the purpose and concept pages; they never become reject words."""
     words = F.filter(alnum_words("text"), lambda w: F.length(w) >= 4)
-    return texts.select(F.explode(F.array_distinct(words)).alias("keyword")).distinct()
+    return texts.select(F.explode_outer(F.array_distinct(words)).alias("keyword")).where(present("keyword")).distinct()
 
 
 def keyword_counts(decisions: DataFrame, protected: DataFrame) -> DataFrame:
     """In how many rejection reasons each unprotected word occurs."""
     reasons = decisions.where(~F.col("accepted") & blank_to_null(F.col("rejection_reason")).isNotNull())
-    words = reasons.select(F.explode(reason_keywords("rejection_reason")).alias("keyword"))
+    words = reasons.select(F.explode_outer(reason_keywords("rejection_reason")).alias("keyword")).where(present("keyword"))
     counted = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("reasons"))
     return counted.join(protected, "keyword", "left_anti")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import prose
-from marginalia.functions.basics import blank_to_null, nonblank, strip
+from marginalia.functions.basics import blank_to_null, nonblank, present, strip
 from marginalia.functions.scoring import PRIORITY_RANK, SCOPE_RANK, rank_of
 from marginalia.functions.tokens import overlap_terms
 from marginalia.operators.decide import distinct_sets, jaccard_pairs, set_members
@@ -121,8 +121,8 @@ def linkified(texts: DataFrame, paths: DataFrame) -> DataFrame:
     Only the ids a text mentions travel to it, so a row's list is as long as the
     text's own id list.
     """
-    mentioned = texts.select("key", F.explode(prose.ids_in_text("text", prose.NODE_ID_PATTERN)).alias("id"))
-    known = mentioned.join(paths, "id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "path"))).alias("found"))
+    mentioned = texts.select("key", F.explode_outer(prose.ids_in_text("text", prose.NODE_ID_PATTERN)).alias("id")).where(present("id"))
+    known = mentioned.join(paths, "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "path"))).alias("found"))
     empty = F.expr("cast(array() as array<struct<id:string,path:string>>)")
     return texts.join(known, "key", "left").select(
         "key", prose.linkify(F.col("text"), F.coalesce("found", empty)).alias("text")
@@ -147,7 +147,7 @@ def link_edges(nodes: DataFrame) -> DataFrame:
         .when(F.col("type") == "decision", edges("governs", governed))
         .otherwise(none)
     )
-    return nodes.select("id", F.posexplode(listed).alias("pos", "e")).select("id", "pos", "e.kind", "e.target")
+    return nodes.select("id", F.posexplode_outer(listed).alias("pos", "e")).where(present("pos")).select("id", "pos", "e.kind", "e.target")
 
 
 def links_sections(nodes: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def links_sections(nodes: DataFrame) -> DataFrame:
     edges = link_edges(nodes).join(id_paths(nodes).select(F.col("id").alias("target"), "path"), "target", "left")
     line = F.concat(F.lit("- "), "kind", F.lit(": [["), F.coalesce("path", "target"), F.lit("]]"))
     blocks = edges.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines")
     )
     return (
         nodes.where("type <> 'purpose'")
@@ -197,7 +197,7 @@ def stale_directions(nodes: DataFrame) -> DataFrame:
         F.max(F.lower("solved") == "yes").alias("is_solved")
     )
     live = nodes.where((F.col("type") == "direction") & (F.lower("status") != "superseded"))
-    served = live.select("id", F.posexplode(nonblank(F.transform(F.split("serves_question", ","), strip))).alias("pos", "served"))
+    served = live.select("id", F.posexplode_outer(nonblank(F.transform(F.split("serves_question", ","), strip))).alias("pos", "served")).where(present("pos"))
     judged = served.join(questions, "served", "left").where(F.col("is_solved").isNull() | F.col("is_solved"))
     first = judged.groupBy("id").agg(F.min(F.struct("pos", "served", "is_solved")).alias("f"))
     return first.select(

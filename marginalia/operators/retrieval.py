@@ -16,9 +16,9 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import identity, prose, scoring
-from marginalia.functions.basics import bind, blank_to_null, strip
+from marginalia.functions.basics import bind, blank_to_null, present, strip
 from marginalia.functions.tokens import retrieval_terms, term_counts
-from marginalia.session import lookup
+from marginalia.session import BROADCAST_ROWS
 
 #: scores are compared at this many decimals so that equal texts tie
 TIE_DECIMALS = 9
@@ -35,7 +35,7 @@ def chunk_table(pages: DataFrame, size: int = prose.CHUNK_CHARS, overlap: int =
         fm.body("text", header).alias("content"),
         identity.text_hash("text").alias("page_body_hash"),
     )
-    cut = read.select("*", F.posexplode(prose.chunk_texts("content", size, overlap)).alias("chunk_index", "raw_text"))
+    cut = read.select("*", F.posexplode_outer(prose.chunk_texts("content", size, overlap)).alias("chunk_index", "raw_text")).where(present("chunk_index"))
     prefix = prose.page_prefix(F.col("title"), F.col("content"))
     return cut.select(
         F.lit(1).alias("schema_version"),
@@ -75,7 +75,7 @@ def term_postings(docs: DataFrame) -> DataFrame:
     counted = docs.select("chunk_id", retrieval_terms("text").alias("terms")).select(
         "chunk_id", F.size("terms").cast("bigint").alias("dl"), term_counts(F.col("terms")).alias("counts")
     )
-    return counted.select("chunk_id", "dl", F.explode("counts").alias("c")).select(
+    return counted.select("chunk_id", "dl", F.explode_outer("counts").alias("c")).where(present("c")).select(
         F.col("c.term").alias("term"), "chunk_id", F.col("c.tf").alias("tf"), "dl"
     )
 
@@ -94,7 +94,7 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
-    terms = docs.select(F.explode(F.array_distinct(retrieval_terms("text"))).alias("term")).distinct()
+    terms = docs.select(F.explode_outer(F.array_distinct(retrieval_terms("text"))).alias("term")).where(present("term")).distinct()
     vocabulary = terms.agg(F.count(F.lit(1)).alias("vocab_size"))
     return corpus_size(document_lengths(docs)).crossJoin(F.broadcast(vocabulary))
 
@@ -123,7 +123,7 @@ def write_index(docs: DataFrame, folder: str, buckets: int = 256) -> None:
 def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
     """Terms of one query text with how often each occurs in it."""
     terms = spark.range(1).select(term_counts(retrieval_terms(F.lit(query))).alias("c"))
-    return [(r["term"], int(r["tf"])) for r in terms.select(F.explode("c").alias("c")).select("c.*").collect()]
+    return [(r["term"], int(r["tf"])) for r in terms.select(F.explode_outer("c").alias("c")).where(present("c")).select("c.*").collect()]
 
 
 def bm25_indexed(spark: SparkSession, folder: str, query: str, k: int = 20, buckets: int = 256) -> DataFrame:
@@ -202,28 +202,27 @@ def bm25_scan(docs: DataFrame, query: str, k: int = 20) -> DataFrame:
 def bm25_many(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Top ``k`` chunks for each of ``queries(query_id, text)``.
 
-    Postings meet the query terms on the term. Query terms are broadcast while
-    their number is small, so a hot term's postings never move; the scores are
-    summed per (query, chunk) and cut to ``k`` before and after the last shuffle.
+    Postings meet the query terms on the term. While the query terms are few
+    they are broadcast, so a hot term's postings never move; beyond that the
+    join is a shuffle that AQE may split. Scores are summed per (query, chunk)
+    and cut to ``k`` before and after the last shuffle.
     """
-    postings = term_postings(docs)
-    totals = F.broadcast(corpus_size(document_lengths(docs)))
-    asked = queries.select("query_id", F.explode(term_counts(retrieval_terms("text"))).alias("c")).select(
+    asked = queries.select("query_id", F.explode_outer(term_counts(retrieval_terms("text"))).alias("c")).where(present("c")).select(
         "query_id", F.col("c.term").alias("term"), F.col("c.tf").alias("qtf")
     )
-    vocabulary = asked.select("term").distinct()
-    held = postings.join(lookup(vocabulary), "term", "left_semi")
-    dfs = document_frequencies(held)
-    weighted = asked.join(dfs, "term").crossJoin(totals).select(
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    postings = term_postings(docs)
+    totals = F.broadcast(corpus_size(document_lengths(docs)))
+    held = postings.join(hint(asked.select("term").distinct()), "term", "left_semi")
+    weighted = asked.join(document_frequencies(held), "term").crossJoin(totals).select(
         "query_id",
         "term",
         "avg_dl",
         (F.col("qtf") * scoring.bm25_idf(F.col("doc_count"), F.col("df"))).alias("weight"),
     )
     part = F.col("weight") * scoring.bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_dl"))
-    scored = (
-        held.join(lookup(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw_score"))
-    )
+    scored = held.join(hint(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw_score"))
     order = Window.partitionBy("query_id").orderBy(F.round("raw_score", TIE_DECIMALS).desc(), "chunk_id")
     return (
         scored.withColumn("rank", F.row_number().over(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import identity
-from marginalia.functions.basics import all_matches, bind, first_match, lines_of, strip
+from marginalia.functions.basics import all_matches, bind, first_match, lines_of, present, strip
 
 # Line formats of a report.
 BOX = r"(?i)^\s*-\s+\[([x ])\]\s+(approve|reject)\s+[·.]\s+`([^`]+)`"
@@ -29,7 +29,7 @@ def blocks(reports: DataFrame, trace_ends: bool = True) -> DataFrame:
     if trace_ends:
         text = F.regexp_replace(text, TRACE, "")
     pieces = F.split(F.concat(F.lit("\n"), text), r"\n(?=###\s)")
-    numbered = reports.select("report_id", F.posexplode(pieces).alias("pos", "block"))
+    numbered = reports.select("report_id", F.posexplode_outer(pieces).alias("pos", "block")).where(present("pos"))
     is_block = F.rlike("block", F.lit(r"^###\s"))
     return numbered.select(
         "report_id", F.when(is_block, F.col("pos")).otherwise(F.lit(1 << 30)).alias("block_no"), "block"
@@ -66,7 +66,7 @@ def boxes(found: DataFrame) -> DataFrame:
             lambda b: b.isNotNull(),
         )
 
-    return found.select("report_id", "block_no", F.explode(bind(lines_of("block"), of)).alias("b")).select(
+    return found.select("report_id", "block_no", F.explode_outer(bind(lines_of("block"), of)).alias("b")).where(present("b")).select(
         "report_id", "block_no", "b.*"
     )
 
@@ -142,7 +142,7 @@ def kept_backlog(backlogs: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def backlog_ids(backlogs: DataFrame) -> DataFrame:
-    return backlogs.select(F.explode(all_matches("text", "`([^`]+)`", 1)).alias("id")).distinct()
+    return backlogs.select(F.explode_outer(all_matches("text", "`([^`]+)`", 1)).alias("id")).where(present("id")).distinct()
 
 
 def report_day(text: Column, stem: Column, today: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import identity
-from marginalia.functions.basics import blank_to_null, strip
+from marginalia.functions.basics import blank_to_null, present, strip
 from marginalia.functions.scoring import STATUS_RANK, rank_of
 
 # Ledger columns with their defaults and the status sets.
@@ -216,7 +216,7 @@ def relevance_links(ledger: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes(node_id, path)`` resolves ids to pages; gaps and objective ids
     without a page fall back to plain links.
     """
-    ids = ledger.select("id", F.posexplode("objective_ids").alias("pos", "oid"))
+    ids = ledger.select("id", F.posexplode_outer("objective_ids").alias("pos", "oid")).where(present("pos"))
     trimmed = ids.withColumn("oid", strip("oid")).where("oid <> ''").withColumn("key", F.upper("oid"))
     known = nodes.groupBy(F.upper("node_id").alias("key")).agg(F.min("path").alias("path"))
     is_gap = F.rlike("oid", F.lit(r"(?i)^GAP-\d+$"))

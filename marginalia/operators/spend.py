@@ -70,7 +70,7 @@ def by_provider(ledger: DataFrame) -> DataFrame:
 
 def by_action(ledger: DataFrame) -> DataFrame:
     """Calls and sums per action with the names of its (few) sources."""
-    names = F.array_join(F.array_sort(F.collect_set(F.coalesce("source", F.lit("unknown")))), ", ")
+    names = F.array_join(F.sort_array(F.collect_set(F.coalesce("source", F.lit("unknown")))), ", ")
     return ledger.groupBy("action").agg(F.count(F.lit(1)).alias("calls"), *_sums(), names.alias("sources"))
 
 

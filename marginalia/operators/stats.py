@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import identity, prose
-from marginalia.functions.basics import blank_to_null, strip
+from marginalia.functions.basics import blank_to_null, present, strip
 from marginalia.operators.graph import skippable, with_names
 
 # Report sizes and section order.
@@ -45,7 +45,7 @@ def counts_by(meta: DataFrame, key: str) -> DataFrame:
 
 def tag_counts(meta: DataFrame, k: int = TOP_TAGS) -> DataFrame:
     """The ``k`` most used tags; repeats on a page count."""
-    tags = meta.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
+    tags = meta.select(F.explode_outer("tags").alias("tag")).where(present("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
     return tags.orderBy(F.col("uses").desc(), "tag").limit(k)
 
 

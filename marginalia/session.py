@@ -71,6 +71,21 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if held <= max_rows else df
 
 
+#: tables whose rows are costly to process, with their unique keys
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """One of the given Parquet tables; a text table keeps every core busy."""
+    table = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spread(table, *TEXT_KEYS[name]) if name in TEXT_KEYS else table
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores if the scan has fewer splits than there are cores.
+
+    A row group is read by one task, so a small table in one row group would run
+    on one core. A table of many files keeps its splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.basics import blank_to_null
+from marginalia.functions.basics import blank_to_null, present
 from marginalia.operators import harvest
 from marginalia.operators.sources_ledger import LEDGER_DEFAULTS, migrate
 from marginalia.sources import vaultfs
@@ -76,7 +76,7 @@ def source_ledger(spark: SparkSession, path: str) -> DataFrame:
     fields = ", ".join(f"{name}:{kind}" for name, (kind, _) in LEDGER_DEFAULTS.items())
     document = spark.read.text(path, wholetext=True)
     parsed = document.select(F.from_json("value", f"struct<sources:map<string,struct<{fields}>>>").alias("d"))
-    rows = parsed.select(F.explode("d.sources").alias("key", "row")).select("key", "row.*")
+    rows = parsed.select(F.explode_outer("d.sources").alias("key", "row")).where(present("key")).select("key", "row.*")
     return migrate(rows.withColumn("id", F.coalesce(blank_to_null(F.col("id")), F.col("key"))).drop("key"))
 
 
@@ -85,7 +85,7 @@ def registry(spark: SparkSession, folder: str, engines: dict[str, str] | None =
     def section(name: str, file: str, key: str) -> DataFrame:
         document = spark.read.text(f"{folder}/{file}", wholetext=True)
         entries = F.from_json("value", f"struct<{key}:array<{REGISTRY_ENTRY}>>")[key]
-        return document.select(F.lit(name).alias("section"), F.posexplode(entries).alias("ord", "e")).select(
+        return document.select(F.lit(name).alias("section"), F.posexplode_outer(entries).alias("ord", "e")).where(present("ord")).select(
             "section", F.col("e.id").alias("source_id"), "e.name", "e.url", "e.rss_feed", "e.category", "e.focus",
             F.coalesce("e.relevance", F.lit(0.0)).alias("relevance"), "e.priority", "ord",
         )
@@ -101,8 +101,8 @@ def transcript(spark: SparkSession, path: str, order: str = "position") -> DataF
     """
     lines = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("session_id"),
-        F.posexplode(F.split("value", "\n")).alias(order, "line"),
-    )
+        F.posexplode_outer(F.split("value", "\n")).alias(order, "line"),
+    ).where(present(order))
     return transcript_messages(lines, order)
 
 
