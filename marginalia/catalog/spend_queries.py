@@ -110,11 +110,11 @@ def over_cap_days(spark: SparkSession, folder: str) -> DataFrame:
 USAGE = """cast(sum(input_tokens) AS bigint) AS tokens_in, cast(sum(output_tokens) AS bigint) AS tokens_out,
 cast(sum(cache_read) AS bigint) AS cache_read, cast(sum(cache_create) AS bigint) AS cache_create, arg_min(model, position) AS model,
 max(position) AS last_position"""
-RATE = """round(CASE WHEN contains(model, 'haiku') THEN (tokens_in * 0.80::DOUBLE + tokens_out * 4.00::DOUBLE) / 1000000
- WHEN contains(model, 'sonnet') THEN (tokens_in * 3.00::DOUBLE + tokens_out * 15.00::DOUBLE) / 1000000
- WHEN contains(model, 'opus') THEN (tokens_in * 15.00::DOUBLE + tokens_out * 75.00::DOUBLE) / 1000000
- WHEN contains(model, 'flash') THEN (tokens_in * 0.075::DOUBLE + tokens_out * 0.30::DOUBLE) / 1000000
- WHEN contains(model, 'gemini') THEN (tokens_in * 1.25::DOUBLE + tokens_out * 5.00::DOUBLE) / 1000000 ELSE 0.0::DOUBLE END, 8)"""
+RATE = """round(CASE WHEN contains(model, 'haiku') THEN (tokens_in * 800 + tokens_out * 4000) / 10.0::DOUBLE
+ WHEN contains(model, 'sonnet') THEN (tokens_in * 3000 + tokens_out * 15000) / 10.0::DOUBLE
+ WHEN contains(model, 'opus') THEN (tokens_in * 15000 + tokens_out * 75000) / 10.0::DOUBLE
+ WHEN contains(model, 'flash') THEN (tokens_in * 75 + tokens_out * 300) / 10.0::DOUBLE
+ WHEN contains(model, 'gemini') THEN (tokens_in * 1250 + tokens_out * 5000) / 10.0::DOUBLE ELSE 0.0::DOUBLE END) / 1e8::DOUBLE"""
 
 
 @query(

@@ -76,14 +76,18 @@ def reputation(accept: Column, reject: Column, prior: float = 1.0) -> Column:
 
 
 def estimated_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Cost by the first rate whose name part occurs in the model name."""
+    """Cost, at 8 decimals, by the first rate whose name part occurs in the model name.
+
+    Rates are whole thousandths, so the cost is counted in whole tenths of the
+    last decimal and rounding meets no binary fractions.
+    """
     name = F.lower(F.coalesce(model, F.lit("")))
-    chosen = F.lit(0.0)
+    tenths = F.lit(0).cast("bigint")
     for part, rate_in, rate_out in reversed(MODEL_RATES):
-        chosen = F.when(
-            F.contains(name, F.lit(part)), (tokens_in * rate_in + tokens_out * rate_out) / 1_000_000
-        ).otherwise(chosen)
-    return F.round(chosen, 8)
+        tenths = F.when(
+            F.contains(name, F.lit(part)), tokens_in * round(rate_in * 1000) + tokens_out * round(rate_out * 1000)
+        ).otherwise(tenths)
+    return F.round(tenths / 10.0) / 1e8
 
 
 def composite_score(keyword: Column, relevance: Column, recent: Column) -> Column:

@@ -55,10 +55,11 @@ def set_members(rows: DataFrame) -> DataFrame:
 
 
 def _prefix_tokens(sets: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """Rarest-first prefix of every set, one row per token.
+    """Rarest-first prefix ``(set_id, size, token, left)`` of every set.
 
     Two sets with Jaccard ``t`` share at least ``ceil(t * size)`` tokens of
     each, so one of the first ``size - ceil(t * size) + 1`` tokens is shared.
+    ``left`` counts the tokens from this one on.
     """
     tokens = sets.select("set_id", F.size("terms").alias("size"), F.explode_outer("terms").alias("token")).where(present("token"))
     ranked = tokens.join(order, "token").groupBy("set_id", "size").agg(
@@ -66,11 +67,27 @@ def _prefix_tokens(sets: DataFrame, order: DataFrame, threshold: float) -> DataF
     )
     need = F.ceil(F.round(F.col("size") * threshold, 9))
     keep = (F.col("size") - F.greatest(need, F.lit(1)) + 1).cast("int")
-    return ranked.select("set_id", "size", F.explode_outer(F.slice("by_rarity", 1, F.greatest(keep, F.lit(1)))).alias("t")).where(present("t")).select(
-        "set_id", "size", F.col("t.token").alias("token")
+    return (
+        ranked.select("set_id", "size", F.posexplode_outer(F.slice("by_rarity", 1, F.greatest(keep, F.lit(1)))).alias("at", "t"))
+        .where(present("at"))
+        .select("set_id", "size", F.col("t.token").alias("token"), (F.col("size") - F.col("at")).alias("left"))
     )
 
 
+def _can_reach(threshold: float, lsize: str, rsize: str, lleft: str, rleft: str) -> Column:
+    """Whether two sets that first meet here can still reach the threshold.
+
+    No shared token comes before the first one, so the overlap is at most what
+    is left of the shorter rest; sizes bound the Jaccard as well.
+    """
+    return F.least(F.col(lleft), F.col(rleft)) >= _needed(threshold, lsize, rsize)
+
+
+def _needed(threshold: float, lsize: str, rsize: str) -> Column:
+    """Shared tokens two sets of these sizes need for the threshold."""
+    return F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col(lsize) + F.col(rsize)), 9))
+
+
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side: bool) -> DataFrame:
     """Pairs ``(left_id, right_id, jaccard)`` of distinct sets at ``threshold`` or more.
 
@@ -81,16 +98,23 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
     rsets = lsets if same_side else cut_lineage(distinct_sets(right))
     both = lsets if same_side else lsets.unionByName(rsets)
     order = both.select(F.explode_outer("terms").alias("token")).where(present("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    lp = _prefix_tokens(lsets, order, threshold).select(F.col("set_id").alias("left_id"), F.col("size").alias("lsize"), "token")
-    rp = lp.select(F.col("left_id").alias("right_id"), F.col("lsize").alias("rsize"), "token") if same_side else _prefix_tokens(
-        rsets, order, threshold
-    ).select(F.col("set_id").alias("right_id"), F.col("size").alias("rsize"), "token")
-    fits = (F.col("lsize") >= threshold * F.col("rsize")) & (F.col("rsize") >= threshold * F.col("lsize"))
-    met = lp.join(rp, "token").where(fits)
+    def side(sets: DataFrame, s: str) -> DataFrame:
+        return _prefix_tokens(sets, order, threshold).select(
+            F.col("set_id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("left").alias(f"{s}_left"), "token"
+        )
+
+    met = side(lsets, "left").join(side(rsets, "right"), "token").where(
+        _can_reach(threshold, "left_size", "right_size", "left_left", "right_left")
+    )
     if same_side:
         met = met.where(F.col("left_id") < F.col("right_id"))
+    # matches so far plus the shorter rest behind the last of them bound the overlap
+    rest = F.least("left_left", "right_left")
+    pairs = met.groupBy("left_id", "right_id", "left_size", "right_size").agg(
+        (F.count(F.lit(1)) + F.min(rest) - 1).alias("at_most")
+    )
     near = _near_pairs(
-        met.select("left_id", "right_id").distinct(),
+        pairs.where(F.col("at_most") >= _needed(threshold, "left_size", "right_size")).select("left_id", "right_id"),
         lsets.select(F.col("set_id").alias("left_id"), "terms"),
         rsets.select(F.col("set_id").alias("right_id"), "terms"),
         threshold,
@@ -149,18 +173,21 @@ def match_scores(gap_units: DataFrame, direction_units: DataFrame) -> DataFrame:
 
     def prefixes(side: DataFrame, threshold: float, name: str) -> DataFrame:
         sets = side.select(F.col("unit").alias("set_id"), "terms")
-        return _prefix_tokens(sets, order, threshold).select(F.col("set_id").alias(name), "token", F.col("size").alias(f"{name}_size"))
+        return _prefix_tokens(sets, order, threshold).select(
+            F.col("set_id").alias(name), "token", F.col("size").alias(f"{name}_size"), F.col("left").alias(f"{name}_left")
+        )
+
+    def meet(threshold: float, keys: list[str], add) -> DataFrame:
+        g, d = add(left, prefixes(left, threshold, "gap_unit"), "gap_unit"), add(right, prefixes(right, threshold, "direction_unit"), "direction_unit")
+        reach = _can_reach(threshold, "gap_unit_size", "direction_unit_size", "gap_unit_left", "direction_unit_left")
+        return g.join(d, keys).where(reach)
 
-    def per_concept(side: DataFrame, name: str) -> DataFrame:
+    def with_concepts(side: DataFrame, found: DataFrame, name: str) -> DataFrame:
         concepts = side.select(F.col("unit").alias(name), F.explode_outer("concepts").alias("concept")).where(present("concept"))
-        return prefixes(side, MERGE_THRESHOLD - CONCEPT_BONUS_CAP, name).join(concepts, name)
+        return found.join(concepts, name)
 
-    by_words = prefixes(left, MERGE_THRESHOLD, "gap_unit").join(prefixes(right, MERGE_THRESHOLD, "direction_unit"), "token")
-    by_words = by_words.where(
-        (F.col("gap_unit_size") >= MERGE_THRESHOLD * F.col("direction_unit_size"))
-        & (F.col("direction_unit_size") >= MERGE_THRESHOLD * F.col("gap_unit_size"))
-    )
-    by_concept = per_concept(left, "gap_unit").join(per_concept(right, "direction_unit"), ["concept", "token"])
+    by_words = meet(MERGE_THRESHOLD, ["token"], lambda side, found, name: found)
+    by_concept = meet(MERGE_THRESHOLD - CONCEPT_BONUS_CAP, ["concept", "token"], with_concepts)
     pair = ["gap_unit", "direction_unit"]
     met = _near_pairs(
         by_words.select(*pair).unionByName(by_concept.select(*pair)).distinct(),

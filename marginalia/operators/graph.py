@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter as fm
 from marginalia.functions import prose
-from marginalia.functions.basics import lines_of, present, strip
+from marginalia.functions.basics import bind, lines_of, present, strip
+from marginalia.session import cut_lineage
 
 # Required keys, areas and allowed values of the audit.
 WIKI_KEYS = ["type", "created", "updated", "sources"]
@@ -81,7 +82,7 @@ def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Pages nothing links to; in some areas only if they link nowhere either."""
     seen = link_targets(links).withColumnRenamed("target", "stem")
     unseen = pages.where(~skippable()).join(seen, "stem", "left_anti")
-    linked_out = F.size(prose.wiki_links("text")) > 0
+    linked_out = F.size("links" if "links" in pages.columns else prose.wiki_links("text")) > 0
     return unseen.where(~F.col("area").isin(*ISOLATED_AREAS) | ~linked_out).select("path", "area", "stem")
 
 
@@ -156,60 +157,69 @@ def _required(page_type: Column) -> Column:
     return out
 
 
-def page_checks(pages: DataFrame, today: Column) -> DataFrame:
-    """Checks that need one page only: ``(area, check, path, detail)``."""
-    head = r"(?s)\A---.*?---"
-    read = pages.where(~skippable()).select(
-        "area",
-        "path",
-        "text",
-        F.rlike("text", F.lit(r"\A\s*```[^\n]*\n\s*---\s*\n")).alias("fenced"),
-        fm.keys("text").alias("keys"),
-        fm.scalar("text", "type", r"(?s)\A---(.*?)---").alias("type"),
-        fm.scalar("text", "written_by", r"(?s)\A---(.*?)---").alias("written_by"),
-        F.regexp_extract("text", r"(?s)\A---.*?^updated[ \t]*:[ \t]*([\"'][^\n]*)$.*?---".replace("(?s)", "(?sm)"), 1).alias("updated"),
-        F.length(strip(F.regexp_replace("text", head, ""))).alias("body_chars"),
+def own_findings(text: Column, today: Column) -> Column:
+    """``array<struct<check, detail>>`` of the checks that need one page only."""
+    head = r"(?s)\A---(.*?)---"
+    facts = F.struct(
+        F.rlike(text, F.lit(r"\A\s*```[^\n]*\n\s*---\s*\n")).alias("fenced"),
+        F.rlike(text, F.lit(r"(?s)<%.*?%>")).alias("unfilled"),
+        fm.keys(text).alias("keys"),
+        fm.scalar(text, "type", head).alias("type"),
+        fm.scalar(text, "written_by", head).alias("written_by"),
+        F.regexp_extract(text, r"(?sm)\A---.*?^updated[ \t]*:[ \t]*([\"'][^\n]*)$.*?---", 1).alias("updated"),
+        F.length(strip(F.regexp_replace(text, r"(?s)\A---.*?---", ""))).alias("body_chars"),
     )
-    absent = F.sort_array(F.array_except(_required(F.col("type")), F.col("keys")))
-    quoted_day = F.try_to_date(F.substring(fm.unquote_all(strip("updated")), 1, 10), "yyyy-MM-dd")
 
     def found(check: str, when: Column, detail: Column | None = None) -> Column:
         return F.when(when, F.struct(F.lit(check).alias("check"), (detail if detail is not None else F.lit("")).alias("detail")))
 
-    results = F.filter(
-        F.array(
-            found("code_fence_wrapped", F.col("fenced")),
-            found("unfilled_template", F.rlike("text", F.lit(r"(?s)<%.*?%>"))),
-            found("empty", F.col("body_chars") < EMPTY_BELOW_CHARS),
-            found("missing_frontmatter", ~F.col("fenced") & (F.size(absent) > 0), F.array_join(absent, ", ")),
-            found("missing_written_by", F.col("written_by").isNull(), F.lit("missing written_by")),
-            found(
-                "missing_written_by",
-                F.col("written_by").isNotNull() & ~F.col("written_by").isin(*WRITERS),
-                F.concat(F.lit("invalid written_by: "), F.col("written_by")),
-            ),
-            found("stale", F.coalesce(quoted_day < F.date_sub(today, STALE_DAYS), F.lit(False))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return read.select("area", "path", F.explode_outer(results).alias("r")).where(present("r")).select("area", "r.check", "path", "r.detail")
+    def judged(f: Column) -> Column:
+        absent = F.sort_array(F.array_except(_required(f["type"]), f["keys"]))
+        quoted_day = F.try_to_date(F.substring(fm.unquote_all(strip(f["updated"])), 1, 10), "yyyy-MM-dd")
+        writer = f["written_by"]
+        return F.array_compact(
+            F.array(
+                found("code_fence_wrapped", f["fenced"]),
+                found("unfilled_template", f["unfilled"]),
+                found("empty", f["body_chars"] < EMPTY_BELOW_CHARS),
+                found("missing_frontmatter", ~f["fenced"] & (F.size(absent) > 0), F.array_join(absent, ", ")),
+                found("missing_written_by", writer.isNull(), F.lit("missing written_by")),
+                found(
+                    "missing_written_by", writer.isNotNull() & ~writer.isin(*WRITERS), F.concat(F.lit("invalid written_by: "), writer)
+                ),
+                found("stale", F.coalesce(quoted_day < F.date_sub(today, STALE_DAYS), F.lit(False))),
+            )
+        )
+
+    return bind(facts, judged)
 
 
 def audit(pages: DataFrame, today: Column) -> DataFrame:
-    """Every issue of ``pages(path, text)`` as ``(area, check, path, detail)``."""
+    """Every issue of ``pages(path, text)`` as ``(area, check, path, detail)``.
+
+    The texts are read once: what the checks need of a page (its links and its
+    own findings) is written out and every check works on that.
+    """
     named = with_names(pages)
-    links = page_links(named)
-    dead = dead_links(links, named).select(
+    facts = cut_lineage(
+        named.select(
+            "path", "area", "name", "stem", prose.wiki_links("text").alias("links"), own_findings(F.col("text"), today).alias("found")
+        )
+    )
+    links = facts.select("path", "area", "stem", "name", F.explode_outer("links").alias("target")).where(present("target"))
+    dead = dead_links(links, facts).select(
         F.when(skippable(), F.lit("unknown")).otherwise(F.col("area")).alias("area"),
         F.lit("dead_links").alias("check"),
         "path",
         F.col("target").alias("detail"),
     )
-    lone = orphans(named, links).select("area", F.lit("orphaned").alias("check"), "path", F.lit("").alias("detail"))
-    double = duplicate_stems(named).select(
+    lone = orphans(facts, links).select("area", F.lit("orphaned").alias("check"), "path", F.lit("").alias("detail"))
+    double = duplicate_stems(facts).select(
         F.col("tag").alias("area"), F.lit("duplicate").alias("check"), "path", F.col("norm").alias("detail")
     )
-    return reduce(DataFrame.unionByName, [page_checks(named, today), dead, lone, double])
+    own = facts.where(~skippable()).select("area", "path", F.explode_outer("found").alias("r")).where(present("r"))
+    own = own.select("area", "r.check", "path", "r.detail")
+    return reduce(DataFrame.unionByName, [own, dead, lone, double])
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

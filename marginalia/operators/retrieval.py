@@ -122,7 +122,7 @@ def write_index(docs: DataFrame, folder: str, buckets: int = 256) -> None:
 
 def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
     """Terms of one query text with how often each occurs in it."""
-    terms = spark.range(1).select(term_counts(retrieval_terms(F.lit(query))).alias("c"))
+    terms = spark.range(0, 1, 1, 1).select(term_counts(retrieval_terms(F.lit(query))).alias("c"))
     return [(r["term"], int(r["tf"])) for r in terms.select(F.explode_outer("c").alias("c")).where(present("c")).select("c.*").collect()]
 
 
@@ -170,12 +170,19 @@ def bm25_scores(docs: DataFrame, query: str) -> DataFrame:
         return docs.select("chunk_id", F.lit(0.0).alias("raw_score")).where(F.lit(False))
     names = [f"tf_{i}" for i in range(len(weights))]
 
-    def occurrences(terms: Column, word: str) -> Column:
-        return F.size(F.filter(terms, lambda t: t == F.lit(word))).cast("bigint")
+    words = [word for word, _ in weights]
+
+    def occurrences(hits: Column, word: str) -> Column:
+        return F.size(F.filter(hits, lambda t: t == F.lit(word))).cast("bigint")
 
     def frequencies(terms: Column) -> Column:
-        counts = [occurrences(terms, word).alias(name) for (word, _), name in zip(weights, names)]
-        return F.struct(F.size(terms).cast("bigint").alias("dl"), *counts)
+        held = F.filter(terms, lambda t: t.isin(*words))
+        return bind(
+            held,
+            lambda hits: F.struct(
+                F.size(terms).cast("bigint").alias("dl"), *[occurrences(hits, w).alias(n) for w, n in zip(words, names)]
+            ),
+        )
 
     rows = docs.select("chunk_id", bind(retrieval_terms("text"), frequencies).alias("s")).select("chunk_id", "s.*")
     totals = rows.agg(
@@ -189,10 +196,9 @@ def bm25_scores(docs: DataFrame, query: str) -> DataFrame:
             F.col(name), F.col("dl"), F.col("avg_dl")
         )
         score = score + F.when(F.col(name) > 0, qtf * part).otherwise(F.lit(0.0))
-    held = F.lit(False)
-    for name in names:
-        held = held | (F.col(name) > 0)
-    return rows.where(held).crossJoin(F.broadcast(totals)).select("chunk_id", score.alias("raw_score"))
+    # every idf is positive, so a chunk scores above zero exactly if it holds a term
+    scored = rows.crossJoin(F.broadcast(totals)).select("chunk_id", score.alias("raw_score"))
+    return scored.where(F.col("raw_score") > 0)
 
 
 def bm25_scan(docs: DataFrame, query: str, k: int = 20) -> DataFrame:

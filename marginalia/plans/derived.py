@@ -138,12 +138,12 @@ calls AS (
   FROM events),
 ledger AS (
   SELECT *, round(CASE
-      WHEN contains(model, 'haiku') THEN (input_tokens * 0.80::DOUBLE + output_tokens * 4.00::DOUBLE) / 1000000
-      WHEN contains(model, 'sonnet') THEN (input_tokens * 3.00::DOUBLE + output_tokens * 15.00::DOUBLE) / 1000000
-      WHEN contains(model, 'opus') THEN (input_tokens * 15.00::DOUBLE + output_tokens * 75.00::DOUBLE) / 1000000
-      WHEN contains(model, 'flash') THEN (input_tokens * 0.075::DOUBLE + output_tokens * 0.30::DOUBLE) / 1000000
-      WHEN contains(model, 'gemini') THEN (input_tokens * 1.25::DOUBLE + output_tokens * 5.00::DOUBLE) / 1000000
-      ELSE 0.0::DOUBLE END, 8) AS estimated_cost_usd
+      WHEN contains(model, 'haiku') THEN (input_tokens * 800 + output_tokens * 4000) / 10.0::DOUBLE
+      WHEN contains(model, 'sonnet') THEN (input_tokens * 3000 + output_tokens * 15000) / 10.0::DOUBLE
+      WHEN contains(model, 'opus') THEN (input_tokens * 15000 + output_tokens * 75000) / 10.0::DOUBLE
+      WHEN contains(model, 'flash') THEN (input_tokens * 75 + output_tokens * 300) / 10.0::DOUBLE
+      WHEN contains(model, 'gemini') THEN (input_tokens * 1250 + output_tokens * 5000) / 10.0::DOUBLE
+      ELSE 0.0::DOUBLE END) / 1e8::DOUBLE AS estimated_cost_usd
   FROM calls)"""
 
 
