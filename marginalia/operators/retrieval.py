@@ -99,13 +99,15 @@ def index_stats(docs: DataFrame) -> DataFrame:
     return corpus_size(document_lengths(docs)).crossJoin(F.broadcast(vocabulary))
 
 
-def write_index(docs: DataFrame, folder: str, buckets: int = 256) -> None:
+def write_index(docs: DataFrame, folder: str, buckets: int | None = None) -> None:
     """Postings clustered by term, chunk lengths and corpus totals as Parquet.
 
-    Rows are spread over ``buckets`` folders by term hash, a hot term over
-    several files of its folder; within a file they are sorted so that row-group
-    statistics skip other terms.
+    Rows are spread over ``buckets`` folders by term hash, a term of many chunks
+    over several files of its folder; files are sorted by term so that row-group
+    statistics skip the others. The totals keep the number of buckets.
     """
+    spark = docs.sparkSession
+    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = term_postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     (
         postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
@@ -114,10 +116,9 @@ def write_index(docs: DataFrame, folder: str, buckets: int = 256) -> None:
         .partitionBy("bucket")
         .parquet(f"{folder}/postings")
     )
-    lengths = document_lengths(docs)
-    lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-    spark = docs.sparkSession
-    corpus_size(spark.read.parquet(f"{folder}/lengths")).write.mode("overwrite").parquet(f"{folder}/totals")
+    document_lengths(docs).write.mode("overwrite").parquet(f"{folder}/lengths")
+    totals = corpus_size(spark.read.parquet(f"{folder}/lengths")).withColumn("buckets", F.lit(buckets))
+    totals.write.mode("overwrite").parquet(f"{folder}/totals")
 
 
 def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
@@ -126,20 +127,20 @@ def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
     return [(r["term"], int(r["tf"])) for r in terms.select(F.explode_outer("c").alias("c")).where(present("c")).select("c.*").collect()]
 
 
-def bm25_indexed(spark: SparkSession, folder: str, query: str, k: int = 20, buckets: int = 256) -> DataFrame:
-    """Top ``k`` chunks from a written index."""
+def bm25_indexed(spark: SparkSession, folder: str, query: str, k: int = 20) -> DataFrame:
+    """Top ``k`` chunks from a written index; only the folders of the query's terms are read."""
     weights = query_weights(spark, query)
-    schema = "term string, qtf bigint"
-    wanted = spark.createDataFrame(weights, schema).withColumn(
+    totals = spark.read.parquet(f"{folder}/totals")
+    buckets = totals.first()["buckets"]
+    wanted = spark.createDataFrame(weights, "term string, qtf bigint").withColumn(
         "bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     )
-    terms = [w for w, _ in weights]
     postings = (
         spark.read.parquet(f"{folder}/postings")
         .where(F.col("bucket").isin([r["bucket"] for r in wanted.select("bucket").distinct().collect()]))
-        .where(F.col("term").isin(terms))
+        .where(F.col("term").isin([w for w, _ in weights]))
     )
-    totals = F.broadcast(spark.read.parquet(f"{folder}/totals"))
+    totals = F.broadcast(totals.drop("buckets"))
     dfs = document_frequencies(postings)
     weighted = F.broadcast(wanted.drop("bucket").join(dfs, "term").crossJoin(totals))
     part = F.col("qtf") * scoring.bm25_idf(F.col("doc_count"), F.col("df")) * scoring.bm25_weight(

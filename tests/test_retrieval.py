@@ -36,7 +36,7 @@ def test_scan_index_and_batch_agree_with_brute_force(spark, tmp_path):
     for query in ("alpha", "alpha gamma", "alpha alpha beta", "zeta-zeta unknown", "missing"):
         wanted = brute(query, 3)
         assert rows(retrieval.bm25_scan(docs, query, 3)) == wanted
-        assert rows(retrieval.bm25_indexed(spark, str(tmp_path / "index"), query, 3, buckets=4)) == wanted
+        assert rows(retrieval.bm25_indexed(spark, str(tmp_path / "index"), query, 3)) == wanted
         many = retrieval.bm25_many(docs, spark.createDataFrame([(1, query)], "query_id int, text string"), 3)
         assert rows(many.orderBy("rank")) == wanted
 
