@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.basics import present
 from marginalia.catalog import fragments as fr
 from marginalia.catalog.base import query
 from marginalia.functions import identity, prose
+from marginalia.functions.basics import bind, present
 from marginalia.operators import harvest
 from marginalia.plans.derived import CANDIDATES_SQL, HOST_SQL, PAGE_TEXT_SQL, page_candidates
 from marginalia.session import read_table
@@ -173,16 +173,22 @@ SELECT title, CASE WHEN cand_id % 2 = 0 THEN 'https://doi.org/10.2/' || cand_id
 def openalex_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Abstracts arrive as word positions and are put back in order."""
     i = F.col("page_id")
-    words = F.split("snippet", " ")
-    index = F.map_from_entries(
-        F.transform(
-            F.array_distinct(words),
-            lambda w: F.struct(
-                w.alias("key"),
-                F.filter(F.transform(words, lambda x, at: F.when(x == w, at)), lambda at: at.isNotNull()).alias("value"),
-            ),
-        )
-    )
+    placed = F.sort_array(F.transform(F.split("snippet", " "), lambda w, at: F.struct(w.alias("word"), at.alias("at"))))
+
+    def grouped(p: Column) -> Column:
+        """Positions per word: runs of equal words in the sorted pairs."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(p)), lambda k: (k == 1) | (F.get(p, k - 1)["word"] != F.get(p, k - 2)["word"]))
+
+        def runs(s: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                positions = F.slice(p, start, F.coalesce(F.get(s, k + 1), F.size(p) + 1) - start)
+                return F.struct(F.get(p, start - 1)["word"].alias("key"), F.transform(positions, lambda x: x["at"]).alias("value"))
+
+            return F.map_from_entries(F.transform(s, run))
+
+        return bind(starts, runs)
+
+    index = bind(placed, grouped)
     item = F.struct(
         F.col("title"), F.when(i % 2 == 0, F.concat(F.lit("https://doi.org/10.2/"), i)).alias("doi"),
         F.concat(F.lit("https://openalex.org/W"), i).alias("id"),

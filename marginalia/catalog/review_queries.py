@@ -175,7 +175,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("source")
     )
     claim = items.select("item_id", F.col("text").alias("claim"))
-    return docs.join(F.broadcast(claim), "item_id").select(F.col("doc_id").alias("claim_id"), "claim", "source")
+    return docs.join(claim, "item_id").select(F.col("doc_id").alias("claim_id"), "claim", "source")
 
 
 @query(

@@ -92,19 +92,17 @@ def backfill_set(cited: DataFrame, status: DataFrame, references: DataFrame) ->
         .groupBy("id")
         .agg(F.sort_array(F.collect_list("page")).alias("first_pages"))
     )
-    gaps = (
-        edges.join(references, "page")
-        .select("id", "gap_id")
-        .distinct()
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("gaps"), F.sort_array(F.collect_list("gap_id")).alias("gap_refs"))
-    )
+    # the text is cut at 200 characters, so no more than 200 gap ids can show in it
+    asked = edges.join(references, "page").select("id", "gap_id").distinct()
+    shown = asked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("gap_id"))).where(F.col("n") <= RATIONALE_CHARS)
+    named_gaps = shown.groupBy("id").agg(F.sort_array(F.collect_list("gap_id")).alias("gap_refs"))
+    gaps = asked.groupBy("id").agg(F.count(F.lit(1)).alias("gaps")).join(named_gaps, "id")
     found = wanted.join(first, "id").join(gaps, "id", "left")
     has_gap = F.col("gaps").isNotNull()
     named = F.array_join(F.transform("first_pages", lambda p: F.concat(F.lit("[["), p, F.lit("]]"))), ", ")
-    asked = F.when(has_gap, F.concat(F.lit(" ("), F.array_join("gap_refs", ", "), F.lit(")"))).otherwise(F.lit(""))
+    served = F.when(has_gap, F.concat(F.lit(" ("), F.array_join("gap_refs", ", "), F.lit(")"))).otherwise(F.lit(""))
     text = F.concat(
-        F.lit("Cited in "), named, asked, F.lit(" but not truly ingested (index status: "), F.col("prior_status"),
+        F.lit("Cited in "), named, served, F.lit(" but not truly ingested (index status: "), F.col("prior_status"),
         F.lit("). Known-gap backfill."),
     )
     bare = F.regexp_replace("id", "^(arxiv|doi):", "")

@@ -53,7 +53,7 @@ def node_counts(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     kinds = spark.createDataFrame([(t, i) for i, t in enumerate(NODE_TYPES)], "type string, pos int")
     counted = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
-    return F.broadcast(kinds).join(counted, "type", "left").select("type", F.coalesce("nodes", F.lit(0)).cast("bigint").alias("nodes"))
+    return kinds.join(counted, "type", "left").select("type", F.coalesce("nodes", F.lit(0)).cast("bigint").alias("nodes"))
 
 
 def question_split(nodes: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def base_scores(
     """Adds ``base_score``: 0.60 keywords, 0.25 weighted relevance, 0.15 recency."""
     words = ranking_terms(F.lit(query))
     joined = candidates.join(source_dimension(registry), "source_id", "left").join(
-        F.broadcast(engine_dimension(registry)), "engine", "left"
+        engine_dimension(registry), "engine", "left"
     )
     keyword = overlap_coefficient(words, ranking_terms(F.concat_ws(" ", "title", "snippet")))
     relevance = F.coalesce("source_relevance", "engine_relevance", F.lit(0.0))
@@ -69,7 +69,7 @@ def with_learned_prior(scored: DataFrame, sources: DataFrame, engines: DataFrame
     words = keywords.agg(F.collect_set("keyword").alias("reject_words"))
     joined = (
         scored.join(sources.select("source_id", F.col("rep").alias("source_rep")), "source_id", "left")
-        .join(F.broadcast(engines.select("engine", F.col("rep").alias("engine_rep"))), "engine", "left")
+        .join(engines.select("engine", F.col("rep").alias("engine_rep")), "engine", "left")
         .crossJoin(F.broadcast(words))
     )
     rep = F.coalesce("source_rep", F.greatest(F.lit(0.0), F.col("engine_rep")), F.lit(0.0))

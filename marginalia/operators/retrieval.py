@@ -270,8 +270,10 @@ def rerank(candidates: DataFrame, embeddings: DataFrame | None, query: DataFrame
     else:
         stored = embeddings.where(F.col("model") == model).select("body_hash", "embedding")
         one = F.broadcast(query.select(F.col("embedding").alias("query_embedding")).limit(1))
+        # the hit list is short: it picks its vectors first, then takes them
+        own = stored.join(F.broadcast(candidates.select("body_hash").distinct()), "body_hash", "left_semi")
         ranked = (
-            stored.join(F.broadcast(candidates), "body_hash", "right")
+            candidates.join(own, "body_hash", "left")
             .crossJoin(one)
             .withColumn("rerank_score", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
             .withColumn(

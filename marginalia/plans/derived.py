@@ -104,7 +104,7 @@ vault AS (
         FROM documents))"""
 
 
-MODELS = ["claude-haiku-x", "sonnet-large", "opus-1", "gemini-flash", "gemini-pro", "ollama/llama", "other"]
+MODELS = ["haiku-small", "sonnet-large", "opus-1", "gemini-flash", "gemini-pro", "ollama/llama", "other"]
 
 
 def cost_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +115,7 @@ def cost_calls(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         F.when(u % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("v"), u % 2)).alias("vault"),
         F.col("event_type").alias("action"),
-        _pick(u % 3, ["anthropic", "gemini", "local"]).alias("provider"),
+        _pick(u % 3, ["metered", "gemini", "local"]).alias("provider"),
         _pick(u % 7, MODELS).alias("model"),
         F.when(u % 11 == 0, F.lit(None).cast("string")).otherwise(_pick(u % 2, ["credit-pool", "pay-as-you-go"])).alias("source"),
         F.floor(v * 100).cast("bigint").alias("input_tokens"),
@@ -129,7 +129,7 @@ calls AS (
   SELECT event_id, ts, cast(ts AS date) AS date,
          CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'v' || (user_id % 2) END AS vault,
          event_type AS action,
-         ['anthropic', 'gemini', 'local'][1 + user_id % 3] AS provider,
+         ['metered', 'gemini', 'local'][1 + user_id % 3] AS provider,
          {_sql_list(MODELS)}[1 + user_id % 7] AS model,
          coalesce(CASE WHEN user_id % 11 = 0 THEN NULL ELSE ['credit-pool', 'pay-as-you-go'][1 + user_id % 2] END, 'unknown') AS source,
          cast(floor(value * 100) AS bigint) AS input_tokens,

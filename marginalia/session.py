@@ -1,4 +1,4 @@
-"""Session settings, shared checkpoint folder and size-checked broadcasts."""
+"""Session settings, table reads and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: rows a lookup side may hold before it is joined by shuffle instead of broadcast
+#: rows a counted side may hold to be broadcast; beyond that it is joined by shuffle
 BROADCAST_ROWS = 200_000
 
 
@@ -61,16 +60,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows' worth of counts; a larger side
-    is returned unhinted so that Spark joins it by shuffle.
-    """
-    held = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if held <= max_rows else df
-
-
 #: tables whose rows are costly to process, with their unique keys
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
 
