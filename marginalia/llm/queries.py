@@ -7,8 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import quality
-from marginalia.llm import checks
+from marginalia.llm import bpe, checks, quality
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +21,13 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("rejected_by")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_counts(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
+    "op3_token_counts": op3_token_counts,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
