@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, quality
+from marginalia.llm import bpe, checks, near, quality
+from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
@@ -25,9 +27,14 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_counts(table(spark, folder, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
