@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, near, quality
+from marginalia.llm import bpe, checks, decontaminate, near, quality
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,15 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_decontamination": op8_decontamination,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
