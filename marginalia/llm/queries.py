@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, near, quality
+from marginalia.llm import bpe, checks, decontaminate, near, quality, secrets
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,16 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
