@@ -30,3 +30,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
         OR n_upper > 0.5 * (n_upper + n_lower) OR n_digits > 0.3 * word_chars OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR longest > 1000) AS kept
 FROM f
 """
+
+
+def _bisection(passes: int = 5, parts: int = 32, entropy: str = "0.98", repeats: str = "2.0") -> str:
+    """Chained search for the largest exponent below which the weights are flat enough or repeat too often."""
+    steps, lo = [], "0.0::DOUBLE"
+    for i in range(1, passes + 1):
+        width = f"(1.0 / {parts ** i})::DOUBLE"
+        before = f"(SELECT lo FROM step{i - 1})" if i > 1 else lo
+        steps.append(f"""
+step{i} AS (
+    SELECT coalesce(max(a), any_value(base)) AS lo FROM (
+        SELECT base, CASE WHEN ln(sum(p)) - sum(p * ln(p)) / sum(p) >= {entropy} * ln(count(*)) - 1e-12 OR max(p / share) / min(p / share) > {repeats} + 1e-12 THEN a END AS a
+        FROM (SELECT base, base + {width} * k AS a, share, pow(share, base + {width} * k) AS p FROM shares, (SELECT {before} AS base), range(1, {parts}) t(k) WHERE share > 0)
+        GROUP BY base, a
+    )
+)""")
+    return ",".join(steps)
+
+
+MIXING = (
+    r"""
+WITH rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+shares AS (SELECT source, tokens, tokens / sum(tokens) OVER () AS share FROM (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM rows_ GROUP BY source)),"""
+    + _bisection()
+    + r""",
+weighted AS (SELECT *, w / sum(w) OVER () AS weight FROM (SELECT *, pow(share, round((SELECT lo FROM step5), 6)) AS w FROM shares)),
+budget AS (SELECT max(tokens / weight) AS b FROM weighted),
+quotas AS (SELECT source, tokens, greatest(tokens, round(weight * b)::BIGINT) AS quota, greatest(1, ceil(b / 100000))::BIGINT AS blocks FROM weighted, budget),
+uses AS (
+    SELECT doc_id, r.source, n_tokens, tokens, quota, blocks, quota // tokens AS whole, quota % tokens AS rest, copy,
+        ('0x' || substr(md5('permute:' || copy || ':' || doc_id), 1, 13))::BIGINT AS draw
+    FROM rows_ r JOIN quotas q ON q.source = r.source, LATERAL (SELECT unnest(range(0, quota // tokens + CASE WHEN quota % tokens > 0 THEN 1 ELSE 0 END)) AS copy)
+),
+runs AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, copy ORDER BY draw, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM uses),
+blocked AS (
+    SELECT doc_id, source, n_tokens, copy::BIGINT AS copy, least(floor((copy * tokens + start) / quota * blocks)::BIGINT, blocks - 1) AS block
+    FROM runs WHERE copy < whole OR start < rest
+)
+SELECT *, row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('block:' || copy || ':' || doc_id), 1, 13))::BIGINT, doc_id, copy) AS position FROM blocked
+"""
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, near, quality, secrets
+from marginalia.llm import bpe, checks, decontaminate, mixing, near, quality, secrets
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -39,13 +39,19 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
+    "op7_mixing": checks.MIXING,
 }
