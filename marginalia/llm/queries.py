@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, mixing, near, quality, secrets
+from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, quality, secrets
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Runner] = {
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
