@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from marginalia.session import cut_lineage
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: links that a task takes at least
+TASK_LINKS = 500_000
+
+
+def _large(edges: DataFrame, tasks: int) -> DataFrame:
     """Larger neighbours of each node are linked to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, tasks: int) -> DataFrame:
     """Smaller neighbours of each node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.coalesce(tasks).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,10 +39,12 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and loops count as no link; a table without links gives no rows.
     """
     edges = cut_lineage(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
-    state = None
+    # few links need few tasks, however many partitions a shuffle has
+    tasks = 8 + edges.count() // TASK_LINKS
+    edges, state = edges.coalesce(tasks), None
     while True:
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
-        edges = cut_lineage(_small(_large(edges)))
+        edges = cut_lineage(_small(_large(edges, tasks).coalesce(tasks), tasks).coalesce(tasks))

@@ -16,9 +16,9 @@ count. So the table that tasks need holds at most (mean shingles a document) / F
    every node is compared with them: the work is linear in the bucket.
 5. Pairs are verified on the whole texts: sum of smaller weights over sum of larger ones is at least
    ``SIMILARITY``. Verified links make components.
-6. Buckets that still hold two components or more are searched for links across them: blocks of at most
-   ``BLOCK`` nodes (about) meet in pairs of blocks, compare sample codes in numpy and give out only pairs
-   whose estimate may be a link. These are verified as well, and the components are made again.
+6. Buckets that still hold two components or more are searched for links across them: blocks of bounded size
+   meet in pairs of blocks, where all similarities are computed exactly as a matrix product. One link for each two
+   components comes out, no pairs. Then the components are made again, so no link within a bucket is lost.
 
 Cases: null, empty and blank texts have no shingles; each is a class of its own. Repeated rows
 share a class. An empty table gives no rows. Equal ids with different texts are different rows.
@@ -51,10 +51,9 @@ COUNT_SLOTS = 1 << 18
 #: slots of random variates
 DRAW_SLOTS = 1 << 15
 #: orders in which a bucket names a centre
-CENTRES = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
-#: share of equal samples below which a pair of a mixed bucket is no link (a link falls below once in 5,000)
-ESTIMATE = 0.6
-BLOCK = 128
+CENTRES = (0, 0x5DEECE66D1CE4E5B)
+#: nodes and shingles of a block (about)
+BLOCK, BLOCK_ELEMENTS = 512, 400_000
 
 
 def shingles(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +180,7 @@ def samples(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> np.nda
     return out
 
 
-SIGNATURE = "doc_id long, mark binary, weight double, codes binary, bands array<long>"
+SIGNATURE = "doc_id long, mark binary, size long, bands array<long>"
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -212,14 +211,13 @@ def _sign(weights: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             for i in range(BANDS):
                 for j in range(ROWS):
                     bands[:, i] = mix(bands[:, i] + drawn[:, i * ROWS + j] + np.uint64(i))
-            codes = (drawn >> np.uint64(48)).astype(np.uint16)
             flat = pa.array(bands.view(np.int64).reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0).slice(lo, hi - lo).take(pa.array(have)), _fixed(marks(h, d, n, batch.n_docs)[have]), pa.array(np.bincount(d, w, minlength=batch.n_docs)[have]),
-                    _fixed(codes.view(np.uint8).reshape(len(have), -1)), pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), flat),
+                    rows.column(0).slice(lo, hi - lo).take(pa.array(have)), _fixed(marks(h, d, n, batch.n_docs)[have]),
+                    pa.array(np.bincount(d, n, minlength=batch.n_docs)[have].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), flat),
                 ],
-                names=["doc_id", "mark", "weight", "codes", "bands"],
+                names=["doc_id", "mark", "size", "bands"],
             )
 
 
@@ -259,37 +257,70 @@ def _verify(weights: Weights, least: float, batches: Iterator[pa.RecordBatch]) -
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), part.column(1).take(pa.array(good)), pa.array(similarity[good])], names=["u", "v", "similarity"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a pair of blocks that lie in different classes and may be links, each in its first shared band only."""
+def _vectors(weights: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements of each text: a shingle and the number of its occurrence; their weights add up to the text's."""
+    for rows in batches:
+        for lo, hi, batch in TextBatch.pieces(rows.column(1)):
+            h, d, n = counted(*shingles(batch))
+            at = np.repeat(np.arange(len(h)), n)
+            again = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+            elements = mix(h[at] + again * np.uint64(0x9E3779B97F4A7C15))
+            factors = weights.of(h, np.ones(len(h)))[at]
+            ends = np.cumsum(np.bincount(d[at], minlength=batch.n_docs))[:-1]
+            parts = [[x.tobytes() for x in np.split(v, ends)] for v in (elements, factors.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, hi - lo), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], names=["node", "elements", "factors"])
+
+
+def similarities(left: list[dict], right: list[dict]) -> np.ndarray:
+    """Weighted Jaccard similarity of every left and right node, exactly, from their elements."""
+    sides = [[(np.frombuffer(m["elements"], dtype=np.uint64), np.frombuffer(m["factors"], dtype=np.float32)) for m in side] for side in (left, right)]
+    elements = np.concatenate([e for side in sides for e, _ in side])
+    factors = np.concatenate([f for side in sides for _, f in side]).astype(np.float64)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(e) for side in sides for e, _ in side])
+    totals = np.bincount(owner, factors, minlength=len(left) + len(right))
+    order = np.argsort(elements, kind="stable")
+    new = np.concatenate([[True], np.diff(elements[order]) != 0])
+    number = np.cumsum(new) - 1
+    often = np.bincount(number)[number] > 1
+    number, at = number[often], order[often]
+    number = np.cumsum(np.concatenate([[1], np.diff(number) != 0])) - 1 if len(number) else number
+    shared = np.zeros((len(left), len(right)))
+    width = 4096
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(number, [first, first + width])
+        dense = np.zeros((len(left) + len(right), width))
+        dense[owner[at[lo:hi]], number[lo:hi] - first] = np.sqrt(factors[at[lo:hi]])
+        shared += dense[: len(left)] @ dense[len(left) :].T
+    return shared / np.maximum(totals[: len(left), None] + totals[None, len(left) :] - shared, 1e-300)
+
+
+def _across(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components in a pair of blocks, one for each two components."""
     for rows in batches:
         us, vs = [], []
-        for row in rows.to_pylist():
+        for i in range(len(rows)):
+            row = rows.slice(i, 1).to_pylist()[0]
             left, right = ([m for m in row["members"] if m["part"] == x] for x in (row["i"], row["j"]))
             if not left or not right:
                 continue
-            a, b = ({k: np.array([m[k] for m in side]) for k in ("node", "root", "weight")} for side in (left, right))
-            ca, cb = (np.frombuffer(b"".join(m["codes"] for m in side), dtype=np.uint16).reshape(len(side), SAMPLES) for side in (left, right))
-            same = ca[:, None, :] == cb[None, :, :]
-            bands = same.reshape(len(left), len(right), BANDS, ROWS).all(axis=3)
-            ok = bands.argmax(axis=2) == row["band"]
-            ok &= bands[:, :, row["band"]] & (same.mean(axis=2) >= ESTIMATE)
-            ok &= a["root"][:, None] != b["root"][None, :]
-            ok &= np.minimum(a["weight"][:, None], b["weight"][None, :]) >= SIMILARITY * np.maximum(a["weight"][:, None], b["weight"][None, :])
-            if row["i"] == row["j"]:
-                ok &= a["node"][:, None] < b["node"][None, :]
-            i, j = np.nonzero(ok)
-            us.append(np.minimum(a["node"][i], b["node"][j]))
-            vs.append(np.maximum(a["node"][i], b["node"][j]))
-        yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64())})
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, similarity: float) -> DataFrame:
-    """Links among ``pairs(u, v)``; only texts of nodes that occur in a pair move on."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+            roots = [np.array([m["root"] for m in side]) for side in (left, right)]
+            a, b = np.nonzero((similarities(left, right) >= least - 1e-9) & (roots[0][:, None] != roots[1][None, :]))
+            two = np.sort(np.stack([roots[0][a], roots[1][b]], axis=1), axis=1)
+            _, first = np.unique(two, axis=0, return_index=True)
+            us += [left[x]["node"] for x in a[first]]
+            vs += [right[x]["node"] for x in b[first]]
+        yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def _texts(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the asked nodes. The marks of nodes differ, so a text belongs to one node of its id."""
     wanted = nodes.join(asked, "node").select("doc_id", "node", "mark")
-    # the marks of nodes differ, so a text belongs to one node of its id
     texts = docs.join(wanted, "doc_id").select("node", "mark", "text").mapInArrow(_with_mark, "node long, text string")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return texts.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Links among ``pairs(u, v)``, with their similarity."""
     both = (
         pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
         .join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
@@ -312,21 +343,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = cut_lineage(buckets.join(centres, ["band", "key"]))
     stars = shared.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(CENTRES)]))).alias("centre")).where("node <> centre")
     pairs = cut_lineage(stars.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct())
-    links = cut_lineage(_verified(pairs, nodes, docs, weights, similarity))
+    texts = cut_lineage(_texts(shared.select("node").distinct(), nodes, docs))
+    links = cut_lineage(_verified(pairs, texts, weights, similarity))
     roots = components(links)
     # links across the components of one bucket
-    known = shared.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = shared.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    open_nodes = known.join(mixed, ["band", "key"]).join(nodes.select("node", "weight", "codes"), "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
-    placed = open_nodes.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = meeting.groupBy("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("part", "node", "root", "weight", "codes")).alias("members"))
-    crossing = grouped.select("band", "i", "j", "members").mapInArrow(_across, "u long, v long").distinct()
-    crossing = cut_lineage(crossing.join(pairs, ["u", "v"], "left_anti"))
-    if not crossing.isEmpty():
-        more = cut_lineage(_verified(crossing, nodes, docs, weights, similarity))
-        roots = components(links.select("u", "v").union(more.select("u", "v")))
+    open_nodes = cut_lineage(known.join(mixed, ["band", "key"]).join(nodes.select("node", "size"), "node"))
+    if not open_nodes.isEmpty():
+        open_texts = texts.join(open_nodes.select("node").distinct(), "node", "left_semi").select("node", "text")
+        vectors = open_texts.mapInArrow(partial(_vectors, weights), "node long, elements binary, factors binary")
+        held = open_nodes.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("blocks"))
+        placed = open_nodes.join(held, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        meeting = placed.join(vectors, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped = meeting.groupBy("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("part", "node", "root", "elements", "factors")).alias("members"))
+        crossing = cut_lineage(grouped.select("i", "j", "members").mapInArrow(partial(_across, similarity), "u long, v long").distinct())
+        roots = components(links.select("u", "v").union(crossing))
     members = signed.select("row", "doc_id", "mark").join(first, "mark").join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))
     lead = members.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("lead"))
     classed = members.join(lead, "root").select("doc_id", F.col("lead.doc_id").alias("class_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
