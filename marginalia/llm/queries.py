@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, quality, secrets
+from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("rejected_by")
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_counts(table(spark, folder, "documents"))
 
@@ -49,6 +53,7 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
+    "op2_personal_data": op2_personal_data,
     "op3_token_counts": op3_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
