@@ -163,6 +163,8 @@ def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
             own.append("v" + str(len(token) <= 3 and int(token) <= 255))
         if "@" in w[2]:
             own.append("@" + ("l" if start < text.index("@", w[0]) else "r"))
+        if w[2].startswith("d.d.d.d"):
+            own.append("i" + str(all(len(x) <= 3 and int(x) <= 255 for x in re.findall("[0-9]+", text[w[0] : w[1]])[:4])))
         if len(w[3]) >= 14:
             own.append(f"l{len(w[3]) <= 19 and luhn(w[3])}")
         out.append(own)
