@@ -138,7 +138,7 @@ def shape(token: str) -> str:
 
 def short_shape(word: str) -> str:
     """Shape of a blank-separated word, runs of letters and digits cut to one sign each."""
-    return re.sub(r"[A-Za-z\u0080-\U0010FFFF]+", "a", re.sub(r"[0-9]+", "d", word))[:24]
+    return re.sub(r"[0-9]+", "d", re.sub(r"[A-Za-z\u0080-\U0010FFFF]+", "a", word))[:24]
 
 
 def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
