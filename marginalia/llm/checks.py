@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marginalia.llm import warc
+
 QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
@@ -71,3 +73,42 @@ blocked AS (
 SELECT *, row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('block:' || copy || ':' || doc_id), 1, 13))::BIGINT, doc_id, copy) AS position FROM blocked
 """
 )
+
+
+def _derivatives() -> str:
+    """Text and metadata blocks again, with the same fixed lists but by another engine's functions."""
+    text = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g')"
+    for name in ("script", "style", "noscript", "template"):
+        text = f"regexp_replace({text}, '(?is)<{name}(?:\\s[^>]*)?>.*?(?:</{name}\\s*>|\\z)', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?i)</?(?:{'|'.join(warc.BLOCKS)})(?:[\\s/][^>]*)?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '</?[A-Za-z!?][^>]*>', '', 'g')"
+    for name, sign in warc.REFERENCES.items():
+        text = f"replace({text}, '&{name};', chr({ord(sign)}))"
+    text = f"replace({text}, '&amp;', '&')"
+    text = f"regexp_replace({text}, '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '\\x20?\\n[\\x20\\n]*', chr(10), 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
+    end = "chr(13) || chr(10)"
+    uuid = "('<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>')"
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5('response|' || page_id || '|' || url) AS h FROM pages),
+r AS (SELECT page_id, url, html, {uuid} AS source, 'sha256:' || sha256(html) AS source_digest, strlen(html) AS size FROM p),
+b AS (
+    SELECT *, 'conversion' AS type, {text} AS block FROM r
+    UNION ALL
+    SELECT *, 'metadata', 'source-record-id: ' || source || {end} || 'source-target-uri: ' || url || {end} || 'source-date: 1970-01-01T00:00:00Z' || {end}
+        || 'source-payload-digest: ' || source_digest || {end} || 'source-payload-length: ' || size || {end}
+        || 'title: ' || trim(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title', 1), '\\s+', ' ', 'g')) || {end}
+        || 'source-header-content-length: ' || size || {end} || 'source-header-content-type: text/html; charset=utf-8' || {end}
+        || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"''>]*)["'']', 1), lambda x: 'outlink: ' || x || {end}), '')
+    FROM r
+),
+i AS (SELECT *, md5(type || '|' || source) AS h FROM b)
+SELECT page_id, type, {uuid} AS record_id, source AS refers_to, url AS target_uri, '1970-01-01T00:00:00Z' AS date,
+    CASE type WHEN 'conversion' THEN 'text/plain; charset=utf-8' ELSE 'application/warc-fields' END AS content_type,
+    strlen(block)::BIGINT AS content_length, source_digest, 'sha256:' || sha256(block) AS block_digest
+FROM i
+"""
+
+
+DERIVATIVES = _derivatives()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets
+from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets, warc
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_counts(table(spark, folder, "documents"))
 
 
+def op5_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    derived = warc.derivatives(warc.responses(table(spark, folder, "pages")), keep=["page_id"])
+    return derived.drop("block")
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
     "op3_token_counts": op3_token_counts,
+    "op5_derivatives": op5_derivatives,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
@@ -63,5 +69,6 @@ QUERIES: dict[str, Runner] = {
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
+    "op5_derivatives": checks.DERIVATIVES,
     "op7_mixing": checks.MIXING,
 }
