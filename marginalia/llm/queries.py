@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets, warc
+from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets, urls, warc
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_counts(table(spark, folder, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url"))
+
+
 def op5_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     derived = warc.derivatives(warc.responses(table(spark, folder, "pages")), keep=["page_id"])
     return derived.drop("block")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_derivatives": op5_derivatives,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
