@@ -364,3 +364,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classed = members.join(lead, "root").select("doc_id", F.col("lead.doc_id").alias("class_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
     blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return classed.unionByName(blank)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose id leads its class, with all their columns. Equal rows of one id are one row."""
+    classed = near_duplicates(docs, key, text, similarity)
+    kept = classed.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    kept = cut_lineage(kept.where("kept").select(F.col("doc_id").alias("_kept_id"), (F.col("rows") > 1).alias("_again")))
+    out = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept_id"]))
+    once, again = out.where("not _again").select(*docs.columns), out.where("_again").select(*docs.columns)
+    return once if kept.where("_again").isEmpty() else once.unionByName(again.dropDuplicates())

@@ -222,3 +222,16 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id
     """
     chosen = ordered(docs, RULES, text) if rules is None else rules
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(partial(_judge, chosen), OUT)
+
+
+def _keep(rules: list[Rule], at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows whose text no rule rejects."""
+    for rows in batches:
+        good = np.concatenate([cascade(batch, rules)[0] < 0 for _, _, batch in TextBatch.pieces(rows.column(at))] or [np.zeros(0, dtype=bool)])
+        yield rows.filter(pa.array(good))
+
+
+def kept(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass every rule, with all their columns; nothing is shuffled."""
+    chosen = ordered(docs, RULES, text) if rules is None else rules
+    return docs.mapInArrow(partial(_keep, chosen, docs.columns.index(text)), docs.schema)
