@@ -77,12 +77,12 @@ SELECT *, row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('bl
 
 def _derivatives() -> str:
     """Text and metadata blocks again, with the same fixed lists but by another engine's functions."""
-    text = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g')"
+    text = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
     for name in ("script", "style", "noscript", "template"):
-        text = f"regexp_replace({text}, '(?is)<{name}(?:\\s[^>]*)?>.*?(?:</{name}\\s*>|\\z)', ' ', 'g')"
+        text = f"regexp_replace({text}, '(?is)<{name}(?:\\s[^>]*)?>.*?(?:</{name}\\s*>|\\z)', '', 'g')"
     text = f"regexp_replace({text}, '(?i)</?(?:{'|'.join(warc.BLOCKS)})(?:[\\s/][^>]*)?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '</?[A-Za-z!?][^>]*>', '', 'g')"
-    for name, sign in warc.REFERENCES.items():
+    for name, sign in list(warc.REFERENCES.items())[1:]:
         text = f"replace({text}, '&{name};', chr({ord(sign)}))"
     text = f"replace({text}, '&amp;', '&')"
     text = f"regexp_replace({text}, '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')"

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: fixed values: elements without text, elements that end a line, and character references
 HIDDEN = ["script", "style", "noscript", "template"]
 BLOCKS = "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "deg": "°", "sect": "§"}
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "deg": "°", "sect": "§"}
 CONTENT = {"conversion": "text/plain; charset=utf-8", "metadata": "application/warc-fields"}
 UNDATED = "1970-01-01T00:00:00Z"
 
@@ -38,32 +38,27 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
-def _numbers(c: Column) -> Column:
-    """Decimal character references resolved; those of no character become U+FFFD."""
-    codes = F.regexp_extract_all(c, F.lit("&#([0-9]{1,7});"), F.lit(1))
-    gaps = F.split(c, "&#[0-9]{1,7};", -1)
-
-    def letter(x: Column) -> Column:
-        n = x.cast("int")
-        real = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
-        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
-
-    joined = F.array_join(F.zip_with(gaps, F.transform(codes, letter), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
-    return F.when(c.contains("&#"), joined).otherwise(c)
+def _resolved(piece: Column) -> Column:
+    """What a character reference stands for, with the text after it; ``piece`` comes after an ampersand."""
+    number = F.regexp_extract(piece, "^#([0-9]{1,7});", 1)
+    n = number.cast("int")
+    real = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+    letter = F.when(real, F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    out = F.when(piece.startswith("#") & (number != ""), F.concat(letter, F.substring(piece, F.length(number) + 3, F.length(piece))))
+    for name, sign in REFERENCES.items():
+        out = out.when(piece.startswith(name + ";"), F.concat(F.lit(sign), F.substring(piece, F.lit(len(name) + 2), F.length(piece))))
+    return out.otherwise(F.concat(F.lit("&"), piece))
 
 
 def plain_text(html: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", " ")
-    for name in HIDDEN:
-        t = F.regexp_replace(t, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)", " ")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>", "\n")
-    t = F.regexp_replace(t, r"</?[A-Za-z!?][^>]*>", "")
-    for name, sign in REFERENCES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
-    t = F.replace(_numbers(t), F.lit("&amp;"), F.lit("&"))
-    t = F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " ")
-    t = F.regexp_replace(t, r"\x20?\n[\x20\n]*", "\n")
-    return F.regexp_replace(t, r"^[\x20\n]+|[\x20\n]+\z", "")
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>", "\n")
+    t = F.regexp_replace(t, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN)})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)|</?[A-Za-z!?][^>]*>", "")
+    # each ampersand is looked at once
+    t = F.array_join(F.transform(F.split(t, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(_resolved(x))), "")
+    # single spaces, most of all blanks, stay as they are
+    t = F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    t = F.regexp_replace(t, r"\x20\n[\x20\n]*|\n[\x20\n]+", "\n")
+    return F.btrim(t, F.lit(" \n"))
 
 
 def title(html: Column) -> Column:

@@ -237,7 +237,7 @@ def test_archive_records(llm, tmp_path):
     rows = derived.collect()
     assert len(rows) == 8
     by = {(r["page_id"], r["type"]): r for r in rows}
-    assert by[1, "conversion"]["block"] == "T & x\nOne\ntwo <b> é\ufffd&lt; link\ntail"
+    assert by[1, "conversion"]["block"] == "T & x\nOne\ntwo <b> é\ufffd&lt;link\ntail"
     assert by[1, "metadata"]["refers_to"] == by[1, "conversion"]["refers_to"] and "outlink: /x\r\n" in by[1, "metadata"]["block"] and "source-header-content-type: text/html" in by[1, "metadata"]["block"]
     import hashlib
 
