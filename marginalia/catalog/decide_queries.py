@@ -70,16 +70,16 @@ def select_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("cand_id", "lane", F.col("slot").cast("bigint").alias("slot"), "spilled")
 
 
-ORDER_LANES = """o AS (SELECT o_orderkey AS cand_id, o_orderpriority AS lane, round(o_totalprice / 1000, 3) AS score FROM orders
- WHERE o_orderpriority <> '2-HIGH' OR o_totalprice > 499000)"""
-ORDER_QUOTAS = [("1-URGENT", 4), ("2-HIGH", 900), ("3-MEDIUM", 5), ("4-NOT SPECIFIED", 2)]
+ORDER_LANES = """o AS (SELECT o_orderkey AS cand_id, CASE WHEN o_totalprice > 499000 THEN 'large' ELSE o_orderpriority END AS lane, round(o_totalprice / 1000, 3) AS score FROM orders)"""
+ORDER_QUOTAS = [("1-URGENT", 4), ("large", 900), ("3-MEDIUM", 5), ("4-NOT SPECIFIED", 2)]
 
 
 @query("lane_spillover", f"WITH {ORDER_LANES}, " + _select_sql("o", ORDER_QUOTAS, 800))
 def lane_spillover(spark: SparkSession, folder: str) -> DataFrame:
-    """An underfilled lane hands its slots on; one lane is not in the order."""
-    rows = read_table(spark, folder, "orders").where("o_orderpriority <> '2-HIGH' OR o_totalprice > 499000").select(
-        F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("lane"), F.round(F.col("o_totalprice") / 1000, 3).alias("score")
+    """A lane that is small by nature hands its slots on; two lanes are not in the order."""
+    lane = F.when(F.col("o_totalprice") > 499000, "large").otherwise(F.col("o_orderpriority"))
+    rows = read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("cand_id"), lane.alias("lane"), F.round(F.col("o_totalprice") / 1000, 3).alias("score")
     )
     chosen = decide.select_candidates(rows, [lane for lane, _ in ORDER_QUOTAS], dict(ORDER_QUOTAS), 800)
     return chosen.select("cand_id", "lane", F.col("slot").cast("bigint").alias("slot"), "spilled")

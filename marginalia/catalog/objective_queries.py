@@ -207,13 +207,26 @@ def redundant_proposals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "resolution_actions",
-    f"""{CTE}, {STALE_SQL}, f AS (SELECT 'superseded' AS action, id FROM stale UNION SELECT 'todo', id FROM nodes WHERE type = 'research_question' AND len(concepts) = 0)
-SELECT action, count(*) AS nodes FROM f GROUP BY action""",
+    f"""{CTE}, {STALE_SQL} SELECT 'superseded' AS action, id, NULL::VARCHAR AS other FROM stale
+UNION SELECT 'todo', id, NULL FROM nodes WHERE type = 'research_question' AND len(concepts) = 0""",
 )
 def resolution_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Actions for directions and questions."""
     found = nodes(spark, folder)
-    findings = obj.stale_directions(found).unionByName(obj.unlinked_questions(found))
-    return obj.apply_resolutions(found, findings).groupBy("action").agg(F.count(F.lit(1)).alias("nodes"))
+    return obj.apply_resolutions(obj.stale_directions(found).unionByName(obj.unlinked_questions(found)))
+
+
+@query(
+    "proposal_actions",
+    f"""WITH {PAIRS_SQL}, first AS (SELECT l, min(r) AS other FROM pq WHERE j >= 0.6 GROUP BY l)
+SELECT 'todo' AS action, l AS id, r AS other FROM pp WHERE j >= 0.6
+UNION SELECT 'todo', min_id, id FROM (SELECT id, min(id) OVER (PARTITION BY ts) AS min_id FROM props) WHERE id <> min_id
+UNION SELECT 'rejected', p.id, NULL FROM (SELECT id, min(id) OVER (PARTITION BY ts) AS sid FROM props) p JOIN first f ON f.l = p.sid""",
+)
+def proposal_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Duplicate proposals become tasks and stay; redundant ones are rejected."""
+    found = pair_nodes(spark, folder)
+    return obj.apply_resolutions(obj.duplicate_proposals(found).unionByName(obj.redundant_proposals(found)))
 
 
 @query(

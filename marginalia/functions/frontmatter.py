@@ -66,8 +66,9 @@ def scalars(text: Column | str, pattern: str = BLOCK_AT_END, quotes: str = "pair
 
 
 def scalar(text: Column | str, key: str, pattern: str = BLOCK_AT_END) -> Column:
-    """One scalar field without building the map."""
-    value = strip(F.regexp_extract(block(text, pattern), rf"(?mi)^\s*{key}\s*:[ \t]*([^\n]*)$", 1))
+    """One scalar field without building the map; of repeated lines the last one counts."""
+    found = F.regexp_extract_all(block(text, pattern), F.lit(rf"(?mi)^[ \t]*{key}\s*:[ \t]*([^\n]*)$"), F.lit(1))
+    value = strip(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
     return blank_to_null(unquote_all(value))
 
 

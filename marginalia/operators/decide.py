@@ -433,11 +433,15 @@ def best_per_item(candidates: DataFrame) -> DataFrame:
 def lane_ranks(candidates: DataFrame, keep: int) -> DataFrame:
     """First ``keep`` rows of each lane by score with their rank.
 
-    The literal bound lets Spark cut every task's rows to ``keep`` per lane
-    before the shuffle, so a lane with most of the rows is no hot task.
+    A lane is cut to ``keep`` rows in each of many parts first, so a lane with most of the rows
+    is no hot task, whatever ``keep`` is; the second ranking sees at most that many rows a part.
     """
-    order = Window.partitionBy("lane").orderBy(F.round("score", 9).desc(), "cand_id")
-    return candidates.withColumn("lane_pos", F.row_number().over(order)).where(F.col("lane_pos") <= keep)
+    best = [F.round("score", 9).desc(), F.col("cand_id")]
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = candidates.withColumn("_part", F.pmod(F.xxhash64("cand_id"), F.lit(parts)))
+    first = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("lane", "_part").orderBy(*best))).where(F.col("_rank") <= keep)
+    order = Window.partitionBy("lane").orderBy(*best)
+    return first.drop("_part", "_rank").withColumn("lane_pos", F.row_number().over(order)).where(F.col("lane_pos") <= keep)
 
 
 def select_candidates(

@@ -110,9 +110,10 @@ def allocate_ids(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 
 
 def id_paths(nodes: DataFrame) -> DataFrame:
-    """Path without suffix of every id; the last path wins."""
+    """Path without suffix of every id; the purpose page's id is ``purpose``, index and hot pages have none; the last path wins."""
     bare = F.regexp_replace("path", r"\.md$", "")
-    return nodes.where("id <> ''").groupBy("id").agg(F.max(bare).alias("path"))
+    named = nodes.withColumn("id", F.when(F.col("type") == "purpose", "purpose").otherwise(F.col("id")))
+    return named.where((F.col("id") != "") & ~F.rlike(bare, F.lit(r"(^|/)(index|hot|_[^/]*)$"))).groupBy("id").agg(F.max(bare).alias("path"))
 
 
 def linkified(texts: DataFrame, paths: DataFrame) -> DataFrame:
@@ -262,19 +263,19 @@ def all_findings(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def apply_resolutions(nodes: DataFrame, findings: DataFrame) -> DataFrame:
-    """Actions the findings lead to: ``(action, id)``.
+def apply_resolutions(findings: DataFrame) -> DataFrame:
+    """Actions the findings lead to: ``(action, id, other)``.
 
-    Stale directions are superseded, later duplicates and redundant proposals
-    rejected, unlinked questions become a task.
+    Stale directions are superseded, redundant proposals rejected. Unlinked questions and
+    duplicate proposals become a task; both proposals of a pair stay as they are until it is judged.
     """
     action = (
         F.when(F.startswith("kind", F.lit("stale")), F.lit("superseded"))
-        .when(F.col("kind").isin("duplicate-proposals", "redundant-proposal"), F.lit("rejected"))
+        .when(F.col("kind") == "redundant-proposal", F.lit("rejected"))
         .otherwise(F.lit("todo"))
     )
-    hit = F.when(F.col("kind") == "duplicate-proposals", F.col("other")).otherwise(F.col("id"))
-    return findings.select(action.alias("action"), hit.alias("id")).distinct()
+    other = F.when(F.col("kind") == "duplicate-proposals", F.col("other"))
+    return findings.select(action.alias("action"), "id", other.alias("other")).distinct()
 
 
 def proposal_questions(nodes: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def build_session(app: str = "marginalia", master: str | None = None, cores: int
     }
     if cores:
         conf["spark.sql.shuffle.partitions"] = str(cores)
+    if master and master.startswith("local"):
+        conf[SPREAD] = "true"
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -60,21 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: set to true by ``build_session`` for local runs only: a text table that lies in one row group is dealt to the local cores
+SPREAD = "spark.marginalia.spreadText"
 #: tables whose rows are costly to process, with their unique keys
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given Parquet tables; a text table keeps every core busy."""
+    """One of the given Parquet tables. Splits are the reader's; only a session that asks for it deals text rows out anew."""
     table = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    return spread(table, *TEXT_KEYS[name]) if name in TEXT_KEYS else table
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores if the scan has fewer splits than there are cores.
-
-    A row group is read by one task, so a small table in one row group would run
-    on one core. A table of many files keeps its splits and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    if name in TEXT_KEYS and spark.conf.get(SPREAD, "false") == "true":
+        return table.repartition(spark.sparkContext.defaultParallelism, *TEXT_KEYS[name])
+    return table
