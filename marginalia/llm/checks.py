@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import warc
+from marginalia.llm import secrets, warc
 
 QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -112,3 +112,96 @@ FROM i
 
 
 DERIVATIVES = _derivatives()
+
+
+def _secrets() -> str:
+    """Places of matches from their gaps, and links by a join on documents and lines."""
+    patterns = {
+        "assign": r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "identifier": "[A-Z0-9]{16,}", "secret": "[A-Za-z0-9+/_=-]{24,}", "endpoint": secrets.ENDPOINT,
+    }
+    hits = []
+    for kind, pattern in patterns.items():
+        quoted = pattern.replace("'", "''")
+        group = 2 if kind == "assign" else 0
+        hits.append(f"""SELECT rid, '{kind}' AS kind, unnest(range(len(h))) AS i, unnest(h) AS hit, unnest(p) AS part, unnest(g[1:len(h)]) AS gap
+    FROM (SELECT rid, regexp_extract_all(t, '{quoted}') AS h, regexp_extract_all(t, '{quoted}', {group}) AS p, string_split_regex(t, '{quoted}') AS g FROM d)""")
+    union = "\n    UNION ALL ".join(hits)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({union}),
+placed AS (
+    SELECT rid, kind, part, length(hit) AS size, sum(length(gap) + length(hit)) OVER w - length(hit) AS s, sum(length(gap) + length(hit)) OVER w AS e,
+        sum(length(gap) - length(replace(gap, chr(10), ''))) OVER w AS line
+    FROM hits WINDOW w AS (PARTITION BY rid, kind ORDER BY i)
+),
+found AS (
+    SELECT *, list_position(['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'], kind) AS rank FROM placed
+    WHERE CASE kind WHEN 'assign' THEN length(part) >= 6 WHEN 'access' THEN size >= 20 WHEN 'hex' THEN size >= 24
+        WHEN 'identifier' THEN regexp_matches(part, '[A-Z]') AND regexp_matches(part, '[0-9]') AND NOT starts_with(part, 'AKIA')
+        WHEN 'secret' THEN regexp_matches(part, '[A-Z]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[0-9]') ELSE true END
+),
+linked AS (
+    SELECT w.rid, w.kind, w.s, w.e, w.rank FROM found w JOIN found o ON o.rid = w.rid AND o.line = w.line AND o.s <= w.e + 200 AND o.e >= w.s - 200
+    WHERE w.rank > 3 GROUP BY ALL
+    HAVING bool_or((o.s >= w.e OR o.e <= w.s) AND (w.kind || '-' || o.kind) IN ('identifier-secret', 'identifier-assign', 'identifier-hex', 'secret-identifier', 'secret-endpoint', 'secret-access', 'endpoint-secret', 'endpoint-assign', 'endpoint-hex'))
+        AND NOT bool_or(o.s < w.e AND o.e > w.s AND o.rank <= 3)
+),
+told AS (SELECT rid, kind, s, rank, kind || ':' || s || ':' || e AS x FROM (SELECT rid, kind, s, e, rank FROM found WHERE rank <= 3 UNION ALL SELECT * FROM (SELECT rid, kind, s, e, rank FROM linked)))
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (rank <= 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, rank), '') AS spans
+FROM d LEFT JOIN told USING (rid) GROUP BY rid, doc_id
+"""
+
+
+SECRETS = _secrets()
+
+
+def _urls() -> str:
+    """Rules and models of order 6, an order at a time."""
+    fits = lambda host, path: f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+    rules = [("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/")]
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules) + " END"
+    columns = ", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for k in range(1, 7) for c in ("a", "sa", "ta", "b", "sb", "tb"))
+
+    def steps(x: str) -> str:
+        lines, before = [], "(1 / 256.0::DOUBLE)"
+        for k in range(1, 7):
+            lines.append(f"CASE WHEN s{x}{k} > 0 THEN ({x}{k} + t{x}{k} * {before}) / (s{x}{k} + t{x}{k}) ELSE {before} END AS p{x}{k}")
+            before = f"p{x}{k}"
+        return ", ".join(lines)
+
+    text = "repeat(chr(2), 5) || regexp_replace(host || path, '[0-9]', '0', 'g') || chr(3)"
+    windows = "unnest(list_transform(range(1, length(text) - 4), lambda i: substr(text, i, 6)))"
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM rest
+),
+judged AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM parts),
+keys AS (SELECT host, path, ruled, count(*) AS n, ('0x' || substr(md5(host || ' ' || path), 1, 8))::BIGINT % 5 AS fold, {text} AS text FROM judged GROUP BY host, path, ruled),
+seen AS (SELECT w, sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS b
+    FROM (SELECT ruled, n, {windows} AS w FROM keys WHERE ruled IS NOT NULL AND fold <> 0) GROUP BY w),
+grams AS (SELECT k, substr(w, 7 - k) AS g, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM seen, range(1, 7) t(k) GROUP BY ALL),
+contexts AS (SELECT k, substr(g, 1, k - 1) AS c, sum(a) AS sa, sum(b) AS sb, (count(*) FILTER (a > 0))::DOUBLE AS ta, (count(*) FILTER (b > 0))::DOUBLE AS tb FROM grams GROUP BY k, c),
+asked AS (SELECT DISTINCT {windows} AS w FROM keys WHERE ruled IS NULL OR fold = 0),
+orders AS (
+    SELECT w, t.k, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb, coalesce(ta, 0) AS ta, coalesce(tb, 0) AS tb
+    FROM asked CROSS JOIN range(1, 7) t(k) LEFT JOIN grams ON grams.k = t.k AND g = substr(w, 7 - t.k) LEFT JOIN contexts ON contexts.k = t.k AND c = substr(w, 7 - t.k, t.k - 1)
+),
+wide AS (SELECT w, {columns} FROM orders GROUP BY w),
+scores AS (SELECT w, round((ln(pa6) - ln(pb6)) * 1000000)::BIGINT AS m FROM (SELECT w, {steps('a')}, {steps('b')} FROM wide)),
+keyed AS (SELECT host, path, sum(m)::DOUBLE / count(*) / 1000000 AS score FROM (SELECT host, path, {windows} AS w FROM keys WHERE ruled IS NULL OR fold = 0) JOIN scores USING (w) GROUP BY host, path),
+bins AS (SELECT greatest(-200, least(200, floor(score / 0.02::DOUBLE)))::INT AS bin, sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS b
+    FROM keys JOIN keyed USING (host, path) WHERE fold = 0 AND ruled IS NOT NULL GROUP BY bin),
+gains AS (SELECT e, coalesce(sum(a) FILTER (bin >= e), 0) / sum(a) + coalesce(sum(b) FILTER (bin < e), 0) / sum(b) AS gain FROM bins, range(-200, 201) t(e) GROUP BY e),
+edge AS (SELECT coalesce(round(min(e) * 0.02::DOUBLE, 6), 0) AS e FROM gains WHERE gain >= (SELECT max(gain) FROM gains) - 1e-12)
+SELECT page_id, judged.host, judged.path, rule, coalesce(ruled, CASE WHEN score >= edge.e THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN ruled IS NULL THEN round(score, 6) END AS score
+FROM judged CROSS JOIN edge LEFT JOIN keyed ON keyed.host = judged.host AND keyed.path = judged.path
+"""
+
+
+URLS = _urls()

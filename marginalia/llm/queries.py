@@ -74,6 +74,8 @@ QUERIES: dict[str, Runner] = {
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
+    "op4_url_filter": checks.URLS,
     "op5_derivatives": checks.DERIVATIVES,
     "op7_mixing": checks.MIXING,
+    "op9_secrets": checks.SECRETS,
 }

@@ -57,6 +57,11 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFra
     return urls.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
+def fold() -> Column:
+    """Fold of a URL, drawn from its host and path."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", "host", "path")), 1, 8), 16, 10).cast("long") % FOLDS
+
+
 def _windows(keys: DataFrame) -> DataFrame:
     """A row for each place of each URL: its window, without marks beyond the first."""
     text = F.concat(F.lit(START * (ORDER - 1)), F.regexp_replace(F.concat("host", "path"), "[0-9]", "0"), F.lit(END))
@@ -124,7 +129,7 @@ def threshold(held: DataFrame) -> float:
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row; the score is null where a rule decides."""
     rows = ruled(parted(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))), rules)
-    distinct = cut_lineage(rows.groupBy("host", "path", "rule", "ruled").agg(F.count(F.lit(1)).alias("n")).withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS))))
+    distinct = cut_lineage(rows.groupBy("host", "path", "rule", "ruled").agg(F.count(F.lit(1)).alias("n")).withColumn("fold", fold()))
     labelled = distinct.where("ruled is not null")
     wanted = distinct.where("ruled is null or fold = 0").select("host", "path")
     scores = cut_lineage(scored(wanted, labelled.where("fold <> 0").select("host", "path", "ruled", "n")))

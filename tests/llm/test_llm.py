@@ -199,7 +199,7 @@ def test_url_parts_rules_and_scores(llm):
     got = {r["page_id"]: r for r in urls.judge(pages).collect()}
     assert len(got) == len(given) + 3
     parts = {(h, p) for h, p in map(plain_urls.split, given)}
-    fold = {(r["host"], r["path"]): r["f"] for r in llm.createDataFrame(sorted(parts), "host string, path string").withColumn("f", F.pmod(F.xxhash64("host", "path"), F.lit(urls.FOLDS))).collect()}
+    fold = {(r["host"], r["path"]): r["f"] for r in llm.createDataFrame(sorted(parts), "host string, path string").withColumn("f", urls.fold()).collect()}
     counts = Counter(map(plain_urls.split, given + given[:3]))
     norm = lambda k: re.sub("[0-9]", "0", "".join(k))
     train = {"allow": [], "block": []}
