@@ -329,9 +329,7 @@ def best_vector_per_label(spark: SparkSession, folder: str) -> DataFrame:
 _hit_cte = fr.bm25("SELECT doc_id AS chunk_id, text FROM documents", f"SELECT 0 AS query_id, '{QUESTION}' AS text")
 
 
-@query(
-    "retrieve_pages",
-    f"""WITH {_hit_cte},
+RETRIEVE_SQL = f"""WITH {_hit_cte},
 hits AS (SELECT chunk_id, raw_score FROM scored ORDER BY round(raw_score, 9) DESC, chunk_id LIMIT 20),
 vec AS (SELECT h.chunk_id, h.raw_score, d.source AS page_address,
   coalesce(list_cosine_similarity([cast(x AS double) for x in e.embedding],
@@ -339,19 +337,25 @@ vec AS (SELECT h.chunk_id, h.raw_score, d.source AS page_address,
   FROM hits h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN embeddings e ON e.vec_id = h.chunk_id),
 top AS (SELECT * FROM vec ORDER BY c DESC, raw_score DESC, chunk_id LIMIT 5),
 best AS (SELECT *, row_number() OVER (PARTITION BY page_address ORDER BY round(c, 9) DESC, chunk_id) AS rn FROM top)
-SELECT page_address, chunk_id, round(raw_score, 6) AS bm25_score, round(c, 6) AS rerank_score FROM best WHERE rn = 1""",
-)
-def retrieve_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 top 20, vector rerank to 5, best chunk per page."""
-    table = read_table(spark, folder, "documents")
-    vectors = read_table(spark, folder, "embeddings")
+SELECT page_address, chunk_id, round(raw_score, 6) AS bm25_score, round(c, 6) AS rerank_score FROM best WHERE rn = 1"""
+
+
+def retrieval_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as chunks, stored vectors, and the vector of the question."""
     key = F.col("doc_id").cast("string")
-    chunks = table.select(
+    chunks = read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("page_address"), F.col("source").alias("page_path"),
         F.lit(0).alias("chunk_index"), key.alias("body_hash"), F.col("text").alias("raw_text"),
         F.col("text").alias("contextualized_text"),
     )
+    vectors = read_table(spark, folder, "embeddings")
     stored = vectors.select(F.lit("m").alias("model"), F.col("vec_id").cast("string").alias("body_hash"), "embedding")
-    asked = vectors.where("vec_id = 0").select("embedding")
+    return chunks, stored, vectors.where("vec_id = 0").select("embedding")
+
+
+@query("retrieve_pages", RETRIEVE_SQL)
+def retrieve_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 top 20, vector rerank to 5, best chunk per page."""
+    chunks, stored, asked = retrieval_tables(spark, folder)
     found = retrieval.retrieve(chunks, QUESTION, stored, asked, "m")
     return found.select("page_address", "chunk_id", "bm25_score", F.round("rerank_score", 6).alias("rerank_score"))

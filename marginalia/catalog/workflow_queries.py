@@ -26,6 +26,14 @@ def bm25_written_index(spark: SparkSession, folder: str) -> DataFrame:
     return workflows.build_and_query_index(tq.chunk_docs(spark, folder), place(spark, "index"), tq.QUESTION)
 
 
+@query("retrieve_indexed", tq.RETRIEVE_SQL)
+def retrieve_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """``retrieve_pages`` from a written index: the query reads postings of its terms and the hits' chunks."""
+    chunks, stored, asked = tq.retrieval_tables(spark, folder)
+    found = workflows.index_and_retrieve(chunks, place(spark, "chunks"), tq.QUESTION, stored, asked, "m")
+    return found.select("page_address", "chunk_id", "bm25_score", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 STAGED_SQL = f"""{dq.CAND}, {dv.REGISTRY_SQL}, {dq.ENGINE_SQL}, {dq.SCORED_SQL}, {dq.LEDGER_SQL},
 k AS (SELECT *, CASE WHEN id_type = 'arxiv' THEN source_id ELSE url END AS sid FROM base),
 un AS (SELECT *, CASE WHEN source_id LIKE 'arxiv:%' THEN source_id ELSE coalesce(nullif(regexp_replace(url, '/+$', ''), ''), source_id) END AS ident

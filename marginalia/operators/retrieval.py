@@ -5,7 +5,8 @@ Two access paths give the same BM25 ranking:
 * ``bm25_scan`` scores a chunk table directly. Term frequencies of the query
   terms are computed per row, so the only shuffle is the final top-k merge.
 * ``bm25_indexed`` reads a postings table laid out by term and touches only the
-  terms of the query.
+  terms of the query. ``retrieve_indexed`` goes on from there: hits take their records
+  from the stored chunks by id, so no text but theirs is read.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from marginalia.functions import frontmatter as fm
 from marginalia.functions import identity, prose, scoring
 from marginalia.functions.basics import bind, blank_to_null, present, strip
 from marginalia.functions.tokens import retrieval_terms, term_counts
-from marginalia.session import BROADCAST_ROWS
+from marginalia.session import BROADCAST_ROWS, cut_lineage
 
+#: chunks whose postings of one term share a file
+SALT_CHUNKS = 250_000
 #: scores are compared at this many decimals so that equal texts tie
 TIE_DECIMALS = 9
 
@@ -103,14 +106,15 @@ def write_index(docs: DataFrame, folder: str, buckets: int | None = None) -> Non
     """Postings clustered by term, chunk lengths and corpus totals as Parquet.
 
     Rows are spread over ``buckets`` folders by term hash, a term of many chunks
-    over several files of its folder; files are sorted by term so that row-group
+    over as many files of its folder as the chunks ask for; files are sorted by term so that row-group
     statistics skip the others. The totals keep the number of buckets.
     """
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = term_postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    salts = max(8, -(-docs.count() // SALT_CHUNKS))
     (
-        postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+        postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
         .sortWithinPartitions("bucket", "term", "chunk_id")
         .write.mode("overwrite")
         .partitionBy("bucket")
@@ -185,7 +189,8 @@ def bm25_scores(docs: DataFrame, query: str) -> DataFrame:
             ),
         )
 
-    rows = docs.select("chunk_id", bind(retrieval_terms("text"), frequencies).alias("s")).select("chunk_id", "s.*")
+    # a few numbers a chunk, kept so that totals and scores share one pass over the texts
+    rows = cut_lineage(docs.select("chunk_id", bind(retrieval_terms("text"), frequencies).alias("s")).select("chunk_id", "s.*"))
     totals = rows.agg(
         F.count(F.lit(1)).alias("doc_count"),
         F.avg("dl").alias("avg_dl"),
@@ -221,7 +226,8 @@ def bm25_many(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     hint = F.broadcast if few else (lambda df: df)
     postings = term_postings(docs)
     totals = F.broadcast(corpus_size(document_lengths(docs)))
-    held = postings.join(hint(asked.select("term").distinct()), "term", "left_semi")
+    # kept, as frequencies and scores both need them
+    held = cut_lineage(postings.join(hint(asked.select("term").distinct()), "term", "left_semi"))
     weighted = asked.join(document_frequencies(held), "term").crossJoin(totals).select(
         "query_id",
         "term",
@@ -305,8 +311,13 @@ def retrieve(
     top: int = 5,
     use_rerank: bool = True,
 ) -> DataFrame:
-    """BM25 candidates, vector rerank, best chunk of every page."""
+    """BM25 candidates, vector rerank, best chunk of every page; without an index, by a scan of the chunks."""
     hits = hydrate(bm25_scan(searchable(chunks), query, bm25_top), chunks)
+    return ranked_hits(hits, embeddings, query_vector, model, top, use_rerank)
+
+
+def ranked_hits(hits: DataFrame, embeddings: DataFrame | None, query_vector: DataFrame | None, model: str, top: int, use_rerank: bool) -> DataFrame:
+    """Rerank of hydrated hits, best chunk of every page."""
     if use_rerank:
         final = rerank(hits, embeddings, query_vector, model, top)
     else:
@@ -319,6 +330,32 @@ def retrieve(
     return best_per_page(final).orderBy(F.col("rerank_score").desc(), F.col("chunk_id")).limit(top)
 
 
+def write_chunks(chunks: DataFrame, folder: str, parts: int | None = None) -> None:
+    """Index of ``chunks`` with the chunks themselves, sorted by id so that a hit's row group is found by its statistics."""
+    write_index(searchable(chunks), folder)
+    parts = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{folder}/chunks")
+
+
+def retrieve_indexed(
+    spark: SparkSession,
+    folder: str,
+    query: str,
+    embeddings: DataFrame | None = None,
+    query_vector: DataFrame | None = None,
+    model: str = "",
+    bm25_top: int = 20,
+    top: int = 5,
+    use_rerank: bool = True,
+) -> DataFrame:
+    """``retrieve`` over what ``write_chunks`` wrote: postings of the query's terms, then the hits' own records."""
+    hits = cut_lineage(bm25_indexed(spark, folder, query, bm25_top))
+    # at most ``bm25_top`` ids, which reach the scan as a filter
+    ids = [r["chunk_id"] for r in hits.select("chunk_id").collect()]
+    chunks = spark.read.parquet(f"{folder}/chunks").where(F.col("chunk_id").isin(ids))
+    return ranked_hits(hydrate(hits, chunks), embeddings, query_vector, model, top, use_rerank)
+
+
 def keyword_context(pages: DataFrame, nodes: DataFrame, question: str, k: int = 8, excerpt: int = 2000) -> DataFrame:
     """Pages and nodes with the most occurrences of the question's words."""
     from marginalia.functions.tokens import blank_split_keywords, substring_score

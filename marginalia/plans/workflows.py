@@ -27,6 +27,12 @@ def build_and_query_index(docs: DataFrame, folder: str, query: str, k: int = 20)
     return retrieval.bm25_indexed(docs.sparkSession, folder, query, k)
 
 
+def index_and_retrieve(chunks: DataFrame, folder: str, query: str, embeddings: DataFrame | None, query_vector: DataFrame | None, model: str) -> DataFrame:
+    """Write chunks with their index and answer one query from them, with rerank."""
+    retrieval.write_chunks(chunks, folder)
+    return retrieval.retrieve_indexed(chunks.sparkSession, folder, query, embeddings, query_vector, model)
+
+
 def crawl_plan(gap_notes: DataFrame, direction_notes: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(targets, routes)`` of gap and direction pages.
 

@@ -86,7 +86,7 @@ def test_incremental_chunk_append(spark, tmp_path):
     assert latest.count() == 2 and latest.where("raw_text = 'beta changed'").count() == 1
 
 
-def test_retrieve_modes(spark):
+def test_retrieve_modes(spark, tmp_path):
     chunks = retrieval.chunk_table(chunk_pages(spark))
     plain = retrieval.retrieve(chunks, "alpha beta", use_rerank=False).collect()
     assert plain and all(r["rerank_score"] == r["bm25_score"] for r in plain)
@@ -95,5 +95,8 @@ def test_retrieve_modes(spark):
     vectors = chunks.where("page_path = 'wiki/b.md'").select(F.lit("m").alias("model"), "body_hash", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     asked = spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")
     ranked = retrieval.retrieve(chunks, "alpha beta", vectors, asked, "m").collect()
+    retrieval.write_chunks(chunks, str(tmp_path / "index"), 2)
+    indexed = retrieval.retrieve_indexed(spark, str(tmp_path / "index"), "alpha beta", vectors, asked, "m")
+    assert [r.asDict() for r in indexed.collect()] == [r.asDict() for r in ranked]
     assert ranked[0]["page_path"] == "wiki/b.md" and ranked[0]["rerank_score"] == 1.0
     assert ranked[1]["rerank_source"] == "missing-vector" and ranked[1]["rerank_score"] == 0.0
