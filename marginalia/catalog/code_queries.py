@@ -11,7 +11,7 @@ from marginalia.functions import prose
 from marginalia.operators import codebase, graph, learn, reports, spend, stats
 from marginalia.operators import decide, gaps, harvest, objectives
 from marginalia.plans import derived as dv
-from marginalia.session import read_table
+from marginalia.session import cut_lineage, read_table
 
 FOLDERS = ["src", "lib", "tests", "node_modules", "docs", "app", ".git", "build"]
 SUFFIXES = [".py", ".PY", ".js", ".md", ".rs", ".bin", ".tsx", ".h", ""]
@@ -301,14 +301,22 @@ def report_headers(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "benchmark").select("item_id", path.alias("path"), header.alias("header"), answers.alias("answerable"))
 
 
-@query("match_trace")
+@query(
+    "match_trace",
+    f"""WITH RECURSIVE {decide_queries.WALK_SQL},
+unit AS (SELECT id, min(id) OVER (PARTITION BY role, list_sort(ts), list_sort(cs)) AS unit FROM side),
+pairs AS (SELECT g.unit AS gu, d.unit AS du, count(*) AS n FROM walk JOIN unit g ON g.id = gap_id JOIN unit d ON d.id = direction_id GROUP BY ALL)
+SELECT gap_id AS gap_unit, direction_id AS direction_unit, round(score, 6) AS score, coalesce(n, 0) AS merged,
+    CASE WHEN n > 0 THEN 'MERGED' WHEN gap_id IN (SELECT gu FROM pairs) THEN 'gap-consumed' ELSE 'direction-consumed' END AS decision
+FROM passed LEFT JOIN pairs ON gu = gap_id AND du = direction_id
+WHERE gap_id IN (SELECT unit FROM unit) AND direction_id IN (SELECT unit FROM unit)""",
+)
 def match_trace(spark: SparkSession, folder: str) -> DataFrame:
-    """What became of every scored unit pair; checked against brute force in tests."""
+    """What became of every scored unit pair, and how many of its rows were merged."""
     left, right = decide_queries.matching_sides(spark, folder)
-    scores = decide.match_scores(left, right)
+    scores = cut_lineage(decide.match_scores(left, right))
     found = decide.greedy_matches(left, right, scores)
-    pairs = scores.select(F.col("gap_unit").alias("gap_id"), F.col("direction_unit").alias("direction_id"), "score")
-    return reports.trace_lines(pairs, found)
+    return reports.trace_lines(scores.withColumn("score", F.round("score", 6)), found, left, right)
 
 
 @query(

@@ -267,9 +267,7 @@ def match_scores(spark: SparkSession, folder: str) -> DataFrame:
     return decide.match_scores(gaps, directions).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "greedy_matches",
-    f"""WITH RECURSIVE {MATCH_SQL},
+WALK_SQL = f"""{MATCH_SQL},
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, gap_id, direction_id) AS i FROM passed),
 walk AS (
   SELECT 0 AS i, cast([] AS varchar[]) AS gs, cast([] AS varchar[]) AS ds, cast(NULL AS varchar) AS gap_id, cast(NULL AS varchar) AS direction_id, cast(NULL AS double) AS score
@@ -277,9 +275,10 @@ walk AS (
   SELECT r.i, CASE WHEN ok THEN list_append(gs, r.gap_id) ELSE gs END, CASE WHEN ok THEN list_append(ds, r.direction_id) ELSE ds END,
      CASE WHEN ok THEN r.gap_id END, CASE WHEN ok THEN r.direction_id END, CASE WHEN ok THEN r.score END
   FROM (SELECT r.*, w.gs, w.ds, NOT list_contains(w.gs, r.gap_id) AND NOT list_contains(w.ds, r.direction_id) AS ok
-        FROM walk w JOIN ranked r ON r.i = w.i + 1) r)
-SELECT gap_id, direction_id, round(score, 6) AS score FROM walk WHERE gap_id IS NOT NULL""",
-)
+        FROM walk w JOIN ranked r ON r.i = w.i + 1) r)"""
+
+
+@query("greedy_matches", f"WITH RECURSIVE {WALK_SQL} SELECT gap_id, direction_id, round(score, 6) AS score FROM walk WHERE gap_id IS NOT NULL")
 def greedy_matches(spark: SparkSession, folder: str) -> DataFrame:
     gaps, directions = matching_sides(spark, folder)
     found = decide.greedy_matches(gaps, directions, decide.match_scores(gaps, directions))

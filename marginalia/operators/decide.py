@@ -7,6 +7,7 @@ asked; equal token sets are folded to one representative before they meet.
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,11 +89,17 @@ def _needed(threshold: float, lsize: str, rsize: str) -> Column:
     return F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col(lsize) + F.col(rsize)), 9))
 
 
+def _size_band(size: str, threshold: float) -> Column:
+    """Band of a set's size; sets that reach the threshold lie in the same band or in neighbours."""
+    return F.floor(F.log(F.col(size)) / F.lit(-math.log(threshold - 0.001))).cast("int")
+
+
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side: bool) -> DataFrame:
     """Pairs ``(left_id, right_id, jaccard)`` of distinct sets at ``threshold`` or more.
 
     Exact: candidates come from shared prefix tokens and compatible sizes, every
-    candidate is then verified on the whole sets.
+    candidate is then verified on the whole sets. The size is part of the join key, so a token of
+    very many sets is met in bands and not as one key.
     """
     lsets = cut_lineage(distinct_sets(left))
     rsets = lsets if same_side else cut_lineage(distinct_sets(right))
@@ -103,7 +110,9 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
             F.col("set_id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("left").alias(f"{s}_left"), "token"
         )
 
-    met = side(lsets, "left").join(side(rsets, "right"), "token").where(
+    narrow = side(lsets, "left").withColumn("band", _size_band("left_size", threshold))
+    wide = side(rsets, "right").withColumn("band", F.explode(F.array(*[_size_band("right_size", threshold) + i for i in (-1, 0, 1)])))
+    met = narrow.join(wide, ["token", "band"]).where(
         _can_reach(threshold, "left_size", "right_size", "left_left", "right_left")
     )
     if same_side:

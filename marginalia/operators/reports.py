@@ -101,10 +101,16 @@ def briefing_lines(changes: DataFrame, keywords: DataFrame, key: str, first: int
     return reps.unionByName(_lines(words, 2, -F.col("reasons"), F.concat(F.lit("- "), "keyword"))).orderBy("part", "pos", "line")
 
 
-def trace_lines(pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Decision of every scored pair: merged, or which side was taken."""
-    merged = matches.select("gap_id", "direction_id", F.lit(True).alias("merged"))
-    gaps = matches.select("gap_id", F.lit(True).alias("gap_taken")).distinct()
-    both = pairs.join(merged, ["gap_id", "direction_id"], "left").join(gaps, "gap_id", "left")
-    decision = F.when(F.col("merged"), "MERGED").when(F.col("gap_taken"), "gap-consumed").otherwise("direction-consumed")
-    return both.select("gap_id", "direction_id", "score", decision.alias("decision"))
+def trace_lines(pairs: DataFrame, matches: DataFrame, gap_rows: DataFrame, direction_rows: DataFrame) -> DataFrame:
+    """Decision of every scored pair of units: merged, or which side was taken by others.
+
+    ``merged`` counts the rows of the two units that were matched, copies included; ``gap_rows`` and
+    ``direction_rows`` are ``(unit, id)``.
+    """
+    gap_of = gap_rows.select(F.col("unit").alias("gap_unit"), F.col("id").alias("gap_id"))
+    direction_of = direction_rows.select(F.col("unit").alias("direction_unit"), F.col("id").alias("direction_id"))
+    merged = matches.join(gap_of, "gap_id").join(direction_of, "direction_id").groupBy("gap_unit", "direction_unit").agg(F.count(F.lit(1)).alias("merged"))
+    gaps = merged.select("gap_unit", F.lit(True).alias("gap_taken")).distinct()
+    both = pairs.join(merged, ["gap_unit", "direction_unit"], "left").join(gaps, "gap_unit", "left")
+    decision = F.when(F.col("merged") > 0, "MERGED").when(F.col("gap_taken"), "gap-consumed").otherwise("direction-consumed")
+    return both.select("gap_unit", "direction_unit", "score", F.coalesce("merged", F.lit(0)).alias("merged"), decision.alias("decision"))
