@@ -19,7 +19,7 @@ from marginalia.functions.scoring import PRIORITY_RANK, rank_of
 from marginalia.functions.tokens import jaccard_or_zero
 from marginalia.operators.harvest import first_of_each
 from marginalia.operators.ordering import numbered
-from marginalia.session import cut_lineage
+from marginalia.session import cut_lineage, written
 
 # Thresholds, categories and selection defaults.
 MERGE_THRESHOLD = 0.18
@@ -219,21 +219,21 @@ def greedy_matches(gap_units: DataFrame, direction_units: DataFrame, scores: Dat
     stands for it. Every round takes the unit pairs that come first for both
     their sides and pairs off as many rows of the two as no tied rival could
     claim before them, so copies are matched in bulk and never multiplied out.
-    State between rounds is cut from the lineage by checkpoints.
+    State between rounds is cut from the lineage by written tables.
     """
-    pairs = cut_lineage(scores)
-    gaps = cut_lineage(numbered(gap_units.select("unit", "id"), "unit", "id"))
-    directions = cut_lineage(numbered(direction_units.select("unit", "id"), "unit", "id"))
+    pairs = written(scores)
+    gaps = written(numbered(gap_units.select("unit", "id"), "unit", "id"))
+    directions = written(numbered(direction_units.select("unit", "id"), "unit", "id"))
     taken: DataFrame | None = None
     while True:
         gap_heads = _heads(gaps, taken, "gap")
         direction_heads = _heads(directions, taken, "direction")
         live = pairs.join(gap_heads, "gap_unit").join(direction_heads, "direction_unit")
         place = F.struct((-F.col("score")).alias("s"), F.col("gap_head").alias("g"), F.col("direction_head").alias("d"))
-        live = cut_lineage(live.withColumn("place", place))
+        live = written(live.withColumn("place", place))
         if live.isEmpty():
             break
-        matched = cut_lineage(_paired_rows(_mutual_firsts(live), gaps, directions))
+        matched = written(_paired_rows(_mutual_firsts(live), gaps, directions))
         taken = matched if taken is None else taken.unionByName(matched)
         pairs = live.select("gap_unit", "direction_unit", "score")
     if taken is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Lineage cut by a Parquet table in the checkpoint folder, for loops.
+
+    A checkpoint keeps the size that its plan was estimated at, and joins multiply sizes: in a loop of
+    joins the estimate gets more digits each round than a driver can hold. A table's size is that of its files.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: set to true by ``build_session`` for local runs only: a text table that lies in one row group is dealt to the local cores
 SPREAD = "spark.marginalia.spreadText"
 #: tables whose rows are costly to process, with their unique keys
