@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import cut_lineage
+from marginalia.session import written
 
 
 #: links that a task takes at least
@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and loops count as no link; a table without links gives no rows.
     """
-    edges = cut_lineage(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    edges = written(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
     # few links need few tasks, however many partitions a shuffle has
     tasks = 8 + edges.count() // TASK_LINKS
     edges, state = edges.coalesce(tasks), None
@@ -47,4 +47,4 @@ def components(links: DataFrame) -> DataFrame:
         if seen == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
-        edges = cut_lineage(_small(_large(edges, tasks).coalesce(tasks), tasks).coalesce(tasks))
+        edges = written(_small(_large(edges, tasks).coalesce(tasks), tasks).coalesce(tasks))
