@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled at once; one longer text makes a piece of its own
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
 
