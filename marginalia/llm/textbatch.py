@@ -134,6 +134,8 @@ class TextBatch:
             data[keep] = raw[at[lo] : at[hi]]
             yield lo, hi, cls(data, at[lo : hi + 1] - at[lo] + np.arange(hi - lo + 1))
             lo = hi
+        # idle workers share an executor's memory with the running ones
+        pa.default_memory_pool().release_unused()
 
     def take(self, rows: np.ndarray) -> "TextBatch":
         """A batch of these texts only."""
