@@ -399,6 +399,32 @@ def test_decontamination_finds_copies_and_paraphrases_only(llm):
     assert decontaminate.matches(docs.where("false"), benchmark).count() == 0 and decontaminate.matches(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_misses_no_copy_of_a_large_benchmark(llm):
+    rng = np.random.default_rng(18)
+    vocabulary = ["".join(rng.choice(["ka", "mo", "ti", "su", "ve", "an", "re", "lo"], int(rng.integers(2, 5)))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, text(int(rng.integers(15, 60)))) for i in range(1200)]
+    rows = [(i, f"{text(int(rng.integers(100, 400)))} {item} {text(int(rng.integers(100, 400)))}") for i, item in items[::3]]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(llm.createDataFrame(rows, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items[::3]}
+
+
+def test_lookup_proposes_every_place_of_enough_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "LOOKED_UP", 50)
+    rng = np.random.default_rng(28)
+    df = rng.integers(1, 50, 400)
+    words = [rng.integers(0, 400, int(rng.integers(5, 40))) for _ in range(60)]
+    items = [decontaminate.Item(w, len(w), {}, int(np.sum(df[w] < 30)), {}, 0, {}) for w in words]
+    postings = decontaminate.postings_of(items, df)
+    numbers = np.concatenate([x for w in words for x in (rng.integers(-1, 400, 150), w, rng.integers(-1, 400, 70))])
+    found = list(decontaminate.looked_up(postings, numbers))
+    at = 0
+    for i, w in enumerate(words):
+        at += 150
+        assert any(j == i and lo <= at and at + len(w) <= hi for j, lo, hi in found)
+        at += len(w) + 70
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(-1, 4), max_size=20))
 def test_common_subsequence(item, text):
