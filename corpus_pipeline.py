@@ -3,8 +3,8 @@
 Each stage works on all rows that the one before it kept. What is written between stages lies in the shared
 folder that the cluster names in ``spark.checkpoint.dir``.
 
-Cases: a null or empty text fails the quality rules; rows that repeat an id are kept or dropped together by the filters,
-but equal rows are one after the near-duplicate stage; an empty table gives an empty mixture; other columns of the input are
+Cases: a null or empty text fails the quality rules; a null id is an id like others, and each text of a repeated id is kept or
+dropped by itself; equal texts under one id are one row after the near-duplicate stage; an empty table gives an empty mixture; other columns of the input are
 carried as far as the last stage.
 """
 

@@ -21,7 +21,8 @@ count. So the table that tasks need holds at most (mean shingles a document) / F
    components comes out, no pairs. Then the components are made again, so no link within a bucket is lost.
 
 Cases: null, empty and blank texts have no shingles; each is a class of its own. Repeated rows
-share a class. An empty table gives no rows. Equal ids with different texts are different rows.
+share a class. An empty table gives no rows. Equal ids with different texts are different rows, and null ids are
+like other ids; ``deduplicated`` keeps the rows that lead, so of two texts under one id only those that lead.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def samples(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> np.nda
     return out
 
 
-SIGNATURE = "doc_id long, mark binary, size long, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, mark binary, size long, bands array<long>"
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -214,24 +215,13 @@ def _sign(weights: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             flat = pa.array(bands.view(np.int64).reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0).slice(lo, hi - lo).take(pa.array(have)), _fixed(marks(h, d, n, batch.n_docs)[have]),
+                    *[rows.column(i).slice(lo, hi - lo).take(pa.array(have)) for i in (0, 2)], _fixed(marks(h, d, n, batch.n_docs)[have]),
                     pa.array(np.bincount(d, n, minlength=batch.n_docs)[have].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), flat),
                 ],
-                names=["doc_id", "mark", "size", "bands"],
+                names=["doc_id", "text_hash", "mark", "size", "bands"],
             )
 
 
-def _with_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts whose mark is the asked one: an id may have several texts."""
-    for rows in batches:
-        for lo, hi, batch in TextBatch.pieces(rows.column(2)):
-            h, d, n = counted(*shingles(batch))
-            found = _fixed(marks(h, d, n, batch.n_docs))
-            same = pa.compute.equal(found, rows.column(1).slice(lo, hi - lo))
-            part = rows.slice(lo, hi - lo).filter(same)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["node", "text"])
-
-
 def _verify(weights: Weights, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v, text of u, text of v) that are similar enough, with their similarity."""
     for rows in batches:
@@ -313,10 +303,10 @@ def _across(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _texts(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, text`` of the asked nodes. The marks of nodes differ, so a text belongs to one node of its id."""
-    wanted = nodes.join(asked, "node").select("doc_id", "node", "mark")
-    texts = docs.join(wanted, "doc_id").select("node", "mark", "text").mapInArrow(_with_mark, "node long, text string")
-    return texts.groupBy("node").agg(F.first("text").alias("text"))
+    """``node, text`` of the asked nodes. An id may have several texts, and a null id is an id like others."""
+    wanted = nodes.join(asked, "node").select("node", F.col("doc_id").alias("node_id"), F.col("text_hash").alias("node_hash"))
+    both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["node_id"]) & (docs["text_hash"] == wanted["node_hash"]))
+    return both.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
@@ -331,7 +321,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, kept`` for every row; class: smallest id among rows linked to each other, kept: one row of each class."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return classes(docs, key, text, similarity).drop("text_hash")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``near_duplicates`` with ``text_hash``, which tells the texts of one id apart."""
+    whole = F.col(text).cast("string")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_hash"))
     n_docs = docs.count()
     weights = Weights(*frequent(docs, n_docs), n_docs)
     signed = docs.mapInArrow(partial(_sign, weights), SIGNATURE).withColumn("row", F.monotonically_increasing_id())
@@ -359,18 +355,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         grouped = meeting.groupBy("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("part", "node", "root", "elements", "factors")).alias("members"))
         crossing = cut_lineage(grouped.select("i", "j", "members").mapInArrow(partial(_across, similarity), "u long, v long").distinct())
         roots = components(links.select("u", "v").union(crossing))
-    members = signed.select("row", "doc_id", "mark").join(first, "mark").join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))
+    members = signed.select("row", "doc_id", "text_hash", "mark").join(first, "mark").join(roots, "node", "left").select("row", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     lead = members.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("lead"))
-    classed = members.join(lead, "root").select("doc_id", F.col("lead.doc_id").alias("class_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
-    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    classed = members.join(lead, "root").select("doc_id", F.col("lead.doc_id").alias("class_id"), (F.col("row") == F.col("lead.row")).alias("kept"), "text_hash")
+    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "text_hash")
     return classed.unionByName(blank)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id leads its class, with all their columns. Equal rows of one id are one row."""
-    classed = near_duplicates(docs, key, text, similarity)
-    kept = classed.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    kept = cut_lineage(kept.where("kept").select(F.col("doc_id").alias("_kept_id"), (F.col("rows") > 1).alias("_again")))
-    out = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept_id"]))
+    """The row of ``docs`` that leads each class, with all its columns. Equal texts under one id are one row, blank ones if the whole rows are equal."""
+    classed = classes(docs, key, text, similarity)
+    kept = classed.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    kept = cut_lineage(kept.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), (F.col("rows") > 1).alias("_again")))
+    whole = F.col(text).cast("string")
+    out = docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept_id"]) & (F.xxhash64(whole) == kept["_kept_hash"]))
     once, again = out.where("not _again").select(*docs.columns), out.where("_again").select(*docs.columns)
-    return once if kept.where("_again").isEmpty() else once.unionByName(again.dropDuplicates())
+    if kept.where("_again").isEmpty():
+        return once
+    worded = F.coalesce(whole.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return once.unionByName(again.where(worded).dropDuplicates([key, text])).unionByName(again.where(~worded).dropDuplicates())

@@ -22,7 +22,7 @@ number of each kind, and the pairs of a long document grow with its length, not
 
 A weak part that overlaps a strong one is that one.
 
-Cases: null, empty and blank texts have no parts; a document without parts still gets its row of zeros and
+Cases: null ids are ids like others; null, empty and blank texts have no parts; a document without parts still gets its row of zeros and
 empty strings; repeated rows are each reported; an empty table gives no rows; of two parts that begin
 together the kind listed first comes first.
 """
@@ -103,9 +103,11 @@ def linked(found: DataFrame) -> DataFrame:
     """Weak parts of ``parts`` that have a complementary part in reach, with the kinds that they meet."""
     stretch = lambda at: F.floor(at / F.lit(REACH))
     weak = found.where(F.col("kind").isin(KINDS[3:])).withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("end")))))
-    other = found.select("doc_id", "mark", "scope", *[F.col(c).alias("other_" + c) for c in ("kind", "start", "end")])
-    other = other.withColumn("stretch", F.explode(F.sequence(stretch(F.col("other_start") - REACH), stretch(F.col("other_end") + REACH))))
-    met = weak.join(other, ["doc_id", "mark", "scope", "stretch"]).where(f"other_start <= end + {REACH} and other_end >= start - {REACH}")
+    other = found.select(F.col("doc_id").alias("other_id"), F.col("mark").alias("other_mark"), F.col("scope").alias("other_scope"), *[F.col(c).alias("other_" + c) for c in ("kind", "start", "end")])
+    other = other.withColumn("stretch", F.explode(F.sequence(stretch(F.col("other_start") - REACH), stretch(F.col("other_end") + REACH)))).withColumnRenamed("stretch", "other_stretch")
+    # a null id is an id like others
+    same = weak["doc_id"].eqNullSafe(F.col("other_id")) & (F.col("mark") == F.col("other_mark")) & (F.col("scope") == F.col("other_scope")) & (F.col("stretch") == F.col("other_stretch"))
+    met = weak.join(other, same).where(f"other_start <= end + {REACH} and other_end >= start - {REACH}")
     apart = (F.col("other_start") >= F.col("end")) | (F.col("other_end") <= F.col("start"))
     fits = F.lit(False)
     for kind, partners in PARTNERS.items():

@@ -469,6 +469,28 @@ def test_licenses(llm):
     assert licenses.licenses(frame(llm, rows).where("false")).count() == 0
 
 
+# null and repeated ids
+
+
+def test_null_and_repeated_ids_are_ids_like_others(llm):
+    one, two, item = prose(61, 150), prose(62, 150), " ".join(f"item{i}" for i in range(30))
+    changed = lambda t, *at: " ".join("changed" if i in at else w for i, w in enumerate(t.split()))
+    rows = [(None, one), (None, one), (1, changed(one, 70)), (2, two), (2, changed(two, 20)), (None, changed(two, 90)), (3, prose(63)), (3, prose(64))]
+    docs = frame(llm, rows)
+    assert Counter(r["kept"] for r in near.near_duplicates(docs).collect()) == {True: 4, False: 4}
+    kept = near.deduplicated(docs).collect()
+    assert len(kept) == 4 and sum(r["doc_id"] == 3 for r in kept) == 2 and sum(r["doc_id"] == 2 for r in kept) < 2
+    told = frame(llm, [(None, f"{one} {item} {two}"), (None, two), (4, f"{two} {item}"), (4, one), (5, one)])
+    for item_id in (None, 7):
+        benchmark = llm.createDataFrame([(item_id, item)], "item_id long, text string")
+        assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(told, benchmark).orderBy("doc_id").collect()] == [(None, item_id), (4, item_id)]
+        assert rows_of(decontaminate.clean(told, benchmark).select("doc_id", "text")) == sorted([(None, two), (4, one), (5, one)], key=str)
+    parts = "id ABCDEFGH12345678 key aB3dE6gH9jK2mN5pQ8rT1vW4"
+    hidden = frame(llm, [(None, parts), (6, parts), (6, "no part")])
+    assert rows_of(secrets.digests(hidden)) == sorted((secret_row(i, t) for i, t in [(None, parts), (6, parts), (6, "no part")]), key=str)
+    assert rows_of(secrets.masked(hidden).select("doc_id", "text")) == sorted([(None, "id [secret] key [secret]"), (6, "id [secret] key [secret]"), (6, "no part")], key=str)
+
+
 # registered queries and the pipeline
 
 
