@@ -7,7 +7,8 @@ its words' positions and the key phrases that make it that license. For a file:
 2. a template is a candidate if all words of its key phrases occur in the file;
 3. of a candidate's words, the ``RARE`` with the highest inverse document frequency (over all documents) that
    the file holds are looked up. Their places less their postings in the template give the starts that they
-   speak for; a start of the rarest word counts if at least half of the others agree within ``SLACK`` words;
+   speak for; a start of any of them counts if at least half of the others agree within ``SLACK`` words. The places of the
+   key phrases less their places in the template always give starts, whatever the rare words of the file say;
 4. every key phrase must stand, word for word, inside the notice that begins there. The score is the share of the
    template's words that stand at their places, give or take ``SLACK``; at least ``SCORE`` is wanted.
 
@@ -106,15 +107,16 @@ def fit_of(template: Template, numbers: np.ndarray, idf: np.ndarray) -> float:
     here = [w for w in np.unique(template.words) if (numbers == w).any()]
     rare = sorted(here, key=lambda w: (-idf[w], w))[:RARE]
     starts = [np.unique(np.subtract.outer(np.flatnonzero(numbers == w), np.flatnonzero(template.words == w))) for w in rare]
+    every = np.unique(np.concatenate(starts))
+    # a start agrees with itself
+    agree = sum(np.searchsorted(s, every + SLACK, side="right") > np.searchsorted(s, every - SLACK) for s in starts) - 1
+    spoken = [np.subtract.outer(runs(numbers, p), runs(template.words, p)).ravel() for p in template.phrases]
     best = 0.0
-    for start in starts[0]:
-        agree = sum(bool((np.abs(s - start) <= SLACK).any()) for s in starts[1:])
-        if 2 * agree < len(rare) - 1:
-            continue
-        lo, hi = max(0, start - SLACK), start + len(template.words) + SLACK
+    for start in np.unique(np.concatenate([every[2 * agree >= len(rare) - 1], *spoken])):
+        lo, hi = max(0, start - SLACK), max(0, start + len(template.words) + SLACK)
         if not all(len(runs(numbers[lo:hi], p)) for p in template.phrases):
             continue
-        near = [w in numbers[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)] for i, w in enumerate(template.words)]
+        near = [bool((numbers[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)] == w).any()) for i, w in enumerate(template.words)]
         best = max(best, float(np.mean(near)))
     return best
 

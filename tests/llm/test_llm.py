@@ -469,6 +469,21 @@ def test_licenses(llm):
     assert licenses.licenses(frame(llm, rows).where("false")).count() == 0
 
 
+def test_license_starts_do_not_hang_on_one_rare_word():
+    index = licenses.Index()
+    apache = next(t for t in index.templates if t.label == "apache-2.0")
+    for text in ("We are licensed by the state. Distributed under the Apache License, Version 2.0", "Distributed under the Apache License, Version 2.0. " + "words " * 50 + "licensed"):
+        batch = TextBatch.of([text])
+        numbers = index.terms.numbers(licenses.words_of(batch).hashes)
+        idf = np.zeros(index.terms.size)
+        fits = [licenses.fit_of(apache, numbers, idf)]
+        for word in ("licensed", "under", "version"):
+            rarest = idf.copy()
+            rarest[index.terms.numbers(np.array([hash_word(word)], dtype=np.uint64))] = 9
+            fits.append(licenses.fit_of(apache, numbers, rarest))
+        assert all(abs(f - 7 / 8) < 1e-9 for f in fits), fits
+
+
 # null and repeated ids
 
 
