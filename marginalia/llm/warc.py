@@ -11,11 +11,13 @@ type, so a second run, or a task run again, makes the same records.
 
 Cases: a null payload is empty; null identifiers, targets, dates or headers give empty values; repeated rows
 give repeated records; an empty table gives none; line ends in a header value are written as %0D and %0A. A comment or
-hidden element that is not closed goes on to the end.
+hidden element that is not closed goes on to the end. References in a title stay as they stand in the page.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 HIDDEN = ["script", "style", "noscript", "template"]
 BLOCKS = "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
 REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "deg": "°", "sect": "§"}
+#: further names of character references
+NAMED = {name[:-1]: sign for name, sign in html5.items() if name.endswith(";") and name[:-1] not in REFERENCES}
 CONTENT = {"conversion": "text/plain; charset=utf-8", "metadata": "application/warc-fields"}
 UNDATED = "1970-01-01T00:00:00Z"
 
@@ -40,21 +44,28 @@ def digest(c: Column) -> Column:
 
 def _resolved(piece: Column) -> Column:
     """What a character reference stands for, with the text after it; ``piece`` comes after an ampersand."""
-    number = F.regexp_extract(piece, "^#([0-9]{1,7});", 1)
-    n = number.cast("int")
+    number = F.regexp_extract(piece, "^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
+    n = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
     real = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
     letter = F.when(real, F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
     out = F.when(piece.startswith("#") & (number != ""), F.concat(letter, F.substring(piece, F.length(number) + 3, F.length(piece))))
     for name, sign in REFERENCES.items():
         out = out.when(piece.startswith(name + ";"), F.concat(F.lit(sign), F.substring(piece, F.lit(len(name) + 2), F.length(piece))))
-    return out.otherwise(F.concat(F.lit("&"), piece))
+    # looked up only where a name that is not among the frequent ones stands
+    named = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+    sign = F.when(named != "", F.try_element_at(F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair]), named))
+    return out.otherwise(F.coalesce(F.concat(sign, F.substring(piece, F.length(named) + 2, F.length(piece))), F.concat(F.lit("&"), piece)))
+
+
+def resolved(text: Column) -> Column:
+    """Character references resolved; each ampersand is looked at once."""
+    return F.array_join(F.transform(F.split(text, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(_resolved(x))), "")
 
 
 def plain_text(html: Column) -> Column:
     t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>", "\n")
     t = F.regexp_replace(t, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN)})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)|</?[A-Za-z!?][^>]*>", "")
-    # each ampersand is looked at once
-    t = F.array_join(F.transform(F.split(t, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(_resolved(x))), "")
+    t = resolved(t)
     # single spaces, most of all blanks, stay as they are
     t = F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
     t = F.regexp_replace(t, r"\x20\n[\x20\n]*|\n[\x20\n]+", "\n")
@@ -67,8 +78,9 @@ def title(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of anchors, in order."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)[\"']"), F.lit(1))
+    """Targets of anchors, in order, character references resolved."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)[\"']"), F.lit(1))
+    return F.transform(found, lambda x: F.when(F.contains(x, F.lit("&")), resolved(x)).otherwise(x))
 
 
 def _value(c: Column) -> Column:

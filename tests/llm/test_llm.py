@@ -259,6 +259,12 @@ def test_archive_records(llm, tmp_path):
     assert sorted(parsed) == sorted((r["record_id"], r["refers_to"], r["block"]) for r in rows)
 
 
+def test_character_references_of_text_and_links(llm):
+    html = "<p>&#x27;a&#X2019; &rsquo;&ldquo;&eacute;&uuml;&amp;uuml; &nosuch; &#xD800;&#x110000;<a href='/x?a=1&amp;b=&#x41;'>l</a>"
+    row = llm.createDataFrame([(html,)], "html string").select(warc.plain_text(F.col("html")).alias("text"), warc.links(F.col("html")).alias("links")).first()
+    assert row["text"] == "'a’ ’“éü&uuml; &nosuch; \ufffd\ufffdl" and row["links"] == ["/x?a=1&b=A"]
+
+
 # 6 near duplicates
 
 
