@@ -5,7 +5,8 @@ of their lengths; only texts with matches give rows, and the texts stay where th
 points, ends exclusive.
 
 Strong parts stand by themselves: assignments of a password or token, access identifiers, long hex runs. Weak
-parts are telling only together: bare identifiers, bare secrets and endpoints. A scope is one line of a text; within it weak
+parts are telling only together: bare identifiers, bare secrets and endpoints. A scope is one line of a text, or with
+``lines=False`` the whole text, so that parts on neighbouring lines are linked as well; within it weak
 parts are joined by interval with the complementary parts at most ``REACH`` code points away:
 
 =============  ====================================================
@@ -99,8 +100,10 @@ def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return placed.where(good).select("doc_id", "mark", "kind", "scope", "start", "end", "part")
 
 
-def linked(found: DataFrame) -> DataFrame:
-    """Weak parts of ``parts`` that have a complementary part in reach, with the kinds that they meet."""
+def linked(found: DataFrame, lines: bool = True) -> DataFrame:
+    """Weak parts of ``parts`` that have a complementary part in reach (of the same line, if ``lines``), with the kinds that they meet."""
+    if not lines:
+        found = found.withColumn("scope", F.lit(0).cast("long"))
     stretch = lambda at: F.floor(at / F.lit(REACH))
     weak = found.where(F.col("kind").isin(KINDS[3:])).withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("end")))))
     other = found.select(F.col("doc_id").alias("other_id"), F.col("mark").alias("other_mark"), F.col("scope").alias("other_scope"), *[F.col(c).alias("other_" + c) for c in ("kind", "start", "end")])
@@ -119,11 +122,11 @@ def linked(found: DataFrame) -> DataFrame:
     return summed.where((F.size("partners") > 0) & ~F.col("strong")).drop("strong")
 
 
-def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: bool = True) -> DataFrame:
     """``doc_id, mark, kind, start, end, partners``: strong parts, and weak ones that are linked."""
     found = cut_lineage(parts(docs, key, text))
     strong = found.where(F.col("kind").isin(BASE)).select("doc_id", "mark", "kind", "start", "end", F.array().cast("array<string>").alias("partners"))
-    return strong.unionByName(linked(found).select("doc_id", "mark", "kind", "start", "end", "partners"))
+    return strong.unionByName(linked(found, lines).select("doc_id", "mark", "kind", "start", "end", "partners"))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,9 +148,9 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
+def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", lines: bool = True) -> DataFrame:
     """``docs`` with every secret replaced by ``MASK``; a column ``size`` is set to the new length where text changed."""
-    found = secrets(docs, key, text)
+    found = secrets(docs, key, text, lines)
     before = W.partitionBy("doc_id", "mark").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     joined = found.withColumn("new", F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1)))
     joined = joined.withColumn("island", F.sum("new").over(W.partitionBy("doc_id", "mark").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))

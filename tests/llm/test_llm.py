@@ -459,6 +459,14 @@ def test_secrets_equal_plain_version_and_masking(llm):
     assert secrets.digests(docs.where("false")).count() == 0 and secrets.masked(docs).columns == docs.columns
 
 
+def test_pipeline_masks_parts_on_neighbouring_lines(llm):
+    import corpus_pipeline
+
+    rows = [(1, "KEY_ID: ABCDEFGH12345678\nKEY: aB3dE6gH9jK2mN5pQ8rT1vW4\nAT: db.example.com:5432"), (2, "ABCDEFGH12345678" + "\nfar" * 80 + "\naB3dE6gH9jK2mN5pQ8rT1vW4")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_stage(llm, frame(llm, rows), SF).collect()}
+    assert got == {1: "KEY_ID: [secret]\nKEY: [secret]\nAT: [secret]", 2: rows[1][1]}
+
+
 # 10 licenses
 
 
