@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, checks, decontaminate, licenses, mixing, near, pii, quality, secrets, urls, warc
+from marginalia.llm import bpe, checks, decontaminate, languages, licenses, lloyd, mixing, near, pii, quality, secrets, urls, warc, whiten
 from marginalia.llm.shipping import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licenses(table(spark, folder, "documents"))
 
 
+def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return lloyd.clusters(table(spark, folder, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Runner] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_clusters": op11_clusters,
+    "op12_whitening": op12_whitening,
+    "op13_languages": op13_languages,
 }
 SQL: dict[str, str] = {
     "op1_quality": checks.QUALITY,
