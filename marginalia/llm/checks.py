@@ -115,7 +115,7 @@ DERIVATIVES = _derivatives()
 
 
 def _secrets() -> str:
-    """Places of matches from their gaps, and links by a join on documents and lines."""
+    """Places of matches from their gaps, and links by a join on documents."""
     patterns = {
         "assign": r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "identifier": "[A-Z0-9]{16,}", "secret": "[A-Za-z0-9+/_=-]{24,}", "endpoint": secrets.ENDPOINT,
@@ -131,8 +131,7 @@ def _secrets() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({union}),
 placed AS (
-    SELECT rid, kind, part, length(hit) AS size, sum(length(gap) + length(hit)) OVER w - length(hit) AS s, sum(length(gap) + length(hit)) OVER w AS e,
-        sum(length(gap) - length(replace(gap, chr(10), ''))) OVER w AS line
+    SELECT rid, kind, part, length(hit) AS size, sum(length(gap) + length(hit)) OVER w - length(hit) AS s, sum(length(gap) + length(hit)) OVER w AS e
     FROM hits WINDOW w AS (PARTITION BY rid, kind ORDER BY i)
 ),
 found AS (
@@ -142,7 +141,7 @@ found AS (
         WHEN 'secret' THEN regexp_matches(part, '[A-Z]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[0-9]') ELSE true END
 ),
 linked AS (
-    SELECT w.rid, w.kind, w.s, w.e, w.rank FROM found w JOIN found o ON o.rid = w.rid AND o.line = w.line AND o.s <= w.e + 200 AND o.e >= w.s - 200
+    SELECT w.rid, w.kind, w.s, w.e, w.rank FROM found w JOIN found o ON o.rid = w.rid AND o.s <= w.e + 200 AND o.e >= w.s - 200
     WHERE w.rank > 3 GROUP BY ALL
     HAVING bool_or((o.s >= w.e OR o.e <= w.s) AND (w.kind || '-' || o.kind) IN ('identifier-secret', 'identifier-assign', 'identifier-hex', 'secret-identifier', 'secret-endpoint', 'secret-access', 'endpoint-secret', 'endpoint-assign', 'endpoint-hex'))
         AND NOT bool_or(o.s < w.e AND o.e > w.s AND o.rank <= 3)

@@ -18,17 +18,18 @@ _TABLE_BITS = 20
 class Terms:
     """Term numbers of word hashes."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, bits: int = _TABLE_BITS):
         self.hashes = np.unique(hashes)
         self.size = len(self.hashes)
-        slots = (self.hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
-        self.table = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)
+        self.mask = np.uint64((1 << bits) - 1)
+        slots = (self.hashes & self.mask).astype(np.int64)
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
         self.table[slots] = np.arange(self.size)
-        self.crowded = np.flatnonzero(np.bincount(slots, minlength=1 << _TABLE_BITS) > 1)
+        self.crowded = np.flatnonzero(np.bincount(slots, minlength=1 << bits) > 1)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words that are no term."""
-        slots = (hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
+        slots = (hashes & self.mask).astype(np.int64)
         out = self.table[slots]
         out[self.hashes[out] != hashes] = -1
         if len(self.crowded):

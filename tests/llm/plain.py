@@ -19,12 +19,11 @@ def secret_row(doc_id, text):
     base = list(found)
     weak = [("identifier", m.start(), m.end()) for m in re.finditer(r"[A-Z0-9]{16,}", t) if re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and not m[0].startswith("AKIA")]
     weak += [("secret", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{24,}", t) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
-    weak += [("endpoint", m.start(), m.end()) for m in re.finditer(r"(?:[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:@/?&=%-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5})", t)]
+    weak += [("endpoint", m.start(), m.end()) for m in re.finditer(r"(?:[a-z][a-z0-9+.-]{0,31}://[A-Za-z0-9._~:@/?&=%-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5})", t)]
     partners = {"identifier": {"secret", "assign", "hex"}, "secret": {"identifier", "endpoint", "access"}, "endpoint": {"secret", "assign", "hex"}}
-    scope = lambda at: t.count("\n", 0, at)
     gate = re.search(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{24}", t) or base
     for k, s, e in weak if gate else []:
-        others = [(k2, s2, e2) for k2, s2, e2 in base + weak if scope(s) == scope(s2) and s2 <= e + 200 and e2 >= s - 200]
+        others = [(k2, s2, e2) for k2, s2, e2 in base + weak if s2 <= e + 200 and e2 >= s - 200]
         apart = lambda o: o[1] >= e or o[2] <= s
         if any(apart(o) and o[0] in partners[k] for o in others) and not any(not apart(o) and o[0] in KINDS[:3] for o in others):
             found.append((k, s, e))

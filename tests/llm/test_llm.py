@@ -431,6 +431,61 @@ def test_lookup_proposes_every_place_of_enough_words(monkeypatch):
         at += len(w) + 70
 
 
+def plain_matches(docs, items, df, n_docs, terms, middle):
+    """All passages of all documents against all windows of all items, whole rows, no index."""
+    weight = np.append((np.log((n_docs + 1) / (df + 1)) + 0.01) ** decontaminate.IDF_POWER, middle)
+    out = set()
+    numbers = lambda t: terms.numbers(decontaminate.words_of(TextBatch.of([t])).hashes)
+    for item_id, text in items:
+        own = numbers(text)
+        content = [int(x) for x in own if df[x] < decontaminate.COMMON * n_docs]
+        answer = own[-decontaminate.ANSWER_WORDS :].tolist()
+        item = decontaminate.Item(own, len(own), decontaminate.masks_of(own.tolist()), len(content), decontaminate.masks_of(content), len(answer), decontaminate.masks_of(answer))
+        if len(own) < decontaminate.LEAST_WORDS:
+            continue
+        for doc_id, whole in docs:
+            words = numbers(whole)
+            for start in range(0, max(len(words) - decontaminate.HALF, 1), decontaminate.HALF):
+                if decontaminate.held(item, words[max(0, start - len(own)) : start + 2 * decontaminate.HALF + len(own)].tolist()) is None:
+                    continue
+                if decontaminate.whole_cosine(words[start : start + 2 * decontaminate.HALF], own, weight**2) >= decontaminate.COSINE:
+                    out.add((doc_id, item_id))
+                    break
+    return out
+
+
+def planted(seed: int, n_items: int, n_docs: int):
+    """Items, and documents that hold a copy or a paraphrase of one; words as rare as in prose."""
+    rng = np.random.default_rng(seed)
+    vocabulary = np.array(["".join(rng.choice(["ka", "mo", "ti", "su", "ve", "an", "re", "lo"], int(rng.integers(2, 6)))) for _ in range(4000)])
+    share = 1 / np.arange(3, 4003)
+    text = lambda n: " ".join(rng.choice(vocabulary, int(n), p=share / share.sum()))
+    items = [(i, text(rng.integers(12, 60))) for i in range(n_items)]
+    docs = []
+    for i in range(n_docs):
+        words = items[i * 7 % n_items][1].split()
+        for at in range(int(rng.integers(2, 5)), len(words) - 5, int(rng.integers(3, 6))) if i % 2 else []:
+            words[at] = text(1)
+        docs.append((i, f"{text(rng.integers(0, 150))} {' '.join(words)} {text(rng.integers(0, 150))}"))
+    return items, docs
+
+
+@pytest.mark.parametrize("n_items", [40, 450])
+def test_decontamination_equals_brute_force(llm, n_items):
+    items, docs = planted(n_items, n_items, 60)
+    hashes = decontaminate.words_of(TextBatch.of([t for _, t in items])).hashes
+    terms = decontaminate.Terms(hashes)
+    seen = [np.unique(terms.numbers(decontaminate.words_of(TextBatch.of([t])).hashes)) for _, t in docs]
+    df = np.bincount(np.concatenate([x[x >= 0] for x in seen]), minlength=terms.size).astype(float)
+    weight = (np.log((len(docs) + 1) / (df + 1)) + 0.01) ** decontaminate.IDF_POWER
+    expected = plain_matches(docs, items, df, len(docs), terms, np.median(weight[terms.numbers(hashes)]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(expected) >= 45 and len(got & expected) >= 0.95 * len(expected) and len(got - expected) <= 0.05 * len(expected)
+    # tied and repeated items are matched each
+    again = decontaminate.matches(llm.createDataFrame(docs[:4], "doc_id long, text string"), llm.createDataFrame([(1, items[0][1]), (1, items[0][1]), (2, items[0][1])], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in again.collect()) == [(0, 1), (0, 1), (0, 2)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(-1, 4), max_size=20))
 def test_common_subsequence(item, text):
@@ -454,11 +509,19 @@ def test_secrets_equal_plain_version_and_masking(llm):
     expected = sorted((secret_row(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=str)
     assert rows_of(secrets.digests(docs)) == expected
     masked = {r["doc_id"]: r for r in secrets.masked(docs).collect()}
-    assert masked[30]["text"] == "id [secret] key [secret] at [secret]\nABCDEFGH12345678 alone" and masked[30]["n_chars"] == len(masked[30]["text"])
+    assert masked[30]["text"] == "id [secret] key [secret] at [secret]\n[secret] alone" and masked[30]["n_chars"] == len(masked[30]["text"])
     assert masked[1]["text"] is None and masked[4]["text"] == prose(4)
     assert secrets.digests(docs.where("false")).count() == 0 and secrets.masked(docs).columns == docs.columns
 
 
+def test_secrets_take_time_in_proportion_to_the_text(llm):
+    import time
+
+    t0 = time.time()
+    rows = [(1, "x" * 1_000_000), (2, "a." * 300_000 + " :80"), (3, "0123456789abcdefABCDEF+/" * 20_000 + " https://h.x"), (4, "1.1.1.1" * 50_000 + ":8"), (5, "a://" * 50_000)]
+    assert secrets.digests(frame(llm, rows)).count() == 5 and time.time() - t0 < 60
+
+
 def test_pipeline_masks_parts_on_neighbouring_lines(llm):
     import corpus_pipeline
 
@@ -523,7 +586,7 @@ def test_null_and_repeated_ids_are_ids_like_others(llm):
 # registered queries and the pipeline
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op11_clusters", "op12_whitening"}))
 def test_registered_queries_cover_their_tables(llm, name):
     rows = QUERIES[name](llm, SF).collect()
     source = "pages" if name.startswith(("op4", "op5")) else "documents"
