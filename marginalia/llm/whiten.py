@@ -22,9 +22,8 @@ deviation that fits no long is null; other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -69,7 +68,8 @@ def numbered(df: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, width: int) -> BlockMatrix:
     """Block matrix of ``index, row`` (an array of doubles)."""
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("row").alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, 0, width).toBlockMatrix(BLOCK, width)
+    # every product walks the blocks more than once; blocks lost with their executor are cut again
+    return IndexedRowMatrix(vectors, 0, width).toBlockMatrix(BLOCK, width).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gram(matrix: BlockMatrix, n: int, tasks: int) -> np.ndarray:
@@ -89,22 +89,23 @@ def projected(matrix: BlockMatrix, by: np.ndarray) -> DataFrame:
     return callMLlibFunc("getIndexedRows", rows._java_matrix_wrapper._java_model).select("index", vector_to_array("vector").alias("z"))
 
 
-def moments(fit: DataFrame, width: int) -> tuple[int, list[int], int]:
-    """Rows, exact sums of every dimension, and the largest size of an entry."""
-    n, sums, most = 0, [], 0
+def moments(fit: DataFrame, width: int) -> tuple[int, list[int], int, int]:
+    """Rows, exact sums of every dimension, least and largest entry."""
+    n, sums, least, most = 0, [], 0, 0
     for lo in range(0, width, WIDE):
         own = range(lo, min(width, lo + WIDE))
-        r = fit.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))).alias("most"), *[F.sum(F.col("x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in own]).first()
-        n, most = r["n"], r["most"] or 0
+        r = fit.agg(F.count(F.lit(1)).alias("n"), F.min(F.array_min("x")).alias("least"), F.max(F.array_max("x")).alias("most"), *[F.sum(F.col("x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in own]).first()
+        n, least, most = r["n"], r["least"], r["most"]
         sums += [int(r[f"s{i}"] or 0) for i in own]
-    return n, sums, most
+    return n, sums, least, most
 
 
-def deviation(n: int, sums: list[int], most: int) -> Column:
+def deviation(n: int, sums: list[int], least: int, most: int) -> Column:
     """Sum over dimensions of (n * x - S)^2, in longs where all of them fit, else in decimals."""
-    size = max(n * most + max(map(abs, sums)), 1)
+    # an entry is apart from its mean by the entries' range at most
+    size = n * (most - least)
     pairs = F.zip_with("x", F.array(*map(F.lit, sums)), lambda x, s: F.struct(x.alias("x"), s.alias("s")))
-    if size * size * len(sums) < 1 << 63:
+    if size * size * len(sums) < 1 << 63 and n * max(abs(least), abs(most)) < 1 << 63:
         return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + (F.lit(n).cast("long") * p["x"] - p["s"]) * (F.lit(n).cast("long") * p["x"] - p["s"]))
     # |n * x - S| takes at most 19 digits while n * x fits a long; a product beyond 38 digits is null
     apart = lambda p: (F.lit(n).cast("decimal(19,0)") * p["x"].cast("decimal(19,0)") - p["s"]).try_cast("decimal(19,0)")
@@ -122,10 +123,10 @@ def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     if first is None or not first["width"]:
         return spark.createDataFrame([], schema)
     width = first["width"]
-    n, sums, most = moments(fit, width)
+    n, sums, least, most = moments(fit, width)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # whole numbers as long as they fit, so that centring loses nothing
-    if n * most + max(map(abs, sums)) < 1 << 62:
+    if n * max(abs(least), abs(most)) < 1 << 62:
         centred = F.zip_with("x", F.array(*[F.lit(s).cast("long") for s in sums]), lambda x, s: (x * F.lit(n).cast("long") - s) / F.lit(float(n)))
     else:
         mean = [(s // n, (s % n) / n) for s in sums]
@@ -145,7 +146,7 @@ def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     error = float(np.abs(gram(blocks(fit_rows, len(order)), n, tasks) / n - np.eye(len(order))).max())
     every = projected(blocks(rows.select("index", centred.alias("row")), width), matrix)
     explained = F.array(*[F.lit(float(values[i] / np.trace(covariance))) for i in order])
-    told = rows.select("index", "vec_id", deviation(n, sums, most).alias("deviation")).join(every, "index")
+    told = rows.select("index", "vec_id", deviation(n, sums, least, most).alias("deviation")).join(every, "index")
     return told.select("vec_id", "deviation", F.posexplode("z").alias("at", "whitened")).select(
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained[F.col("at")].alias("explained"), F.lit(error).alias("identity_error")
     )
