@@ -68,25 +68,36 @@ def active_keywords(counts: DataFrame, min_reasons: int = MIN_REASONS, cap: int
 
 
 def calibration(decisions: DataFrame, part: Column) -> DataFrame:
-    """Running means of accepted and rejected scores in id order.
+    """Running means of accepted and rejected scores in id order, from nothing; rounded to six decimals."""
+    before = decisions.sparkSession.createDataFrame([(0.0, 0.0, 0)], "accepted_mean double, rejected_mean double, n long")
+    means = running_means(decisions, part, before)
+    return means.select(F.round("accepted_mean", 6).alias("accepted_mean"), F.round("rejected_mean", 6).alias("rejected_mean"), "n")
+
+
+def running_means(decisions: DataFrame, part: Column, before: DataFrame) -> DataFrame:
+    """``accepted_mean, rejected_mean, n``: the means of ``before`` (one row of these columns) moved on in id order.
 
     Both means share one counter, so a score seen as the n-th decision moves its
     mean by (score - mean) / n. Each step is an affine map of the mean, and such
     maps compose: every ``part`` of the id range is reduced on its own by
-    log-products, then the few parts are combined in order. No task ever holds
-    more than one part.
+    log-products, then the few parts are combined in order, and last comes the stored mean that they are
+    applied to. No task ever holds more than one part.
 
     ``part`` is a column that grows with the id and bounds the rows per value.
     """
+    stored = before.agg(
+        F.coalesce(F.max("accepted_mean"), F.lit(0.0)).alias("accepted_before"), F.coalesce(F.max("rejected_mean"), F.lit(0.0)).alias("rejected_before"), F.coalesce(F.max("n"), F.lit(0)).alias("n_before")
+    )
     scored = decisions.where(F.col("relevance_score").isNotNull()).select(
         "id", "accepted", F.col("relevance_score").alias("x"), part.alias("part")
     )
     sizes = scored.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     upto = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"))
+    # one row of stored means
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("sizes")).crossJoin(F.broadcast(stored)).select("part", (F.col("sizes") + F.col("n_before")).alias("before"))
     inside = Window.partitionBy("part").orderBy("id")
     numbered = scored.join(offsets, "part").withColumn("n", F.row_number().over(inside) + F.col("before"))
-    # step n: mean * (n - 1) / n + x / n; the first step sets the mean outright
+    # step n: mean * (n - 1) / n + x / n; the first step of all sets the mean outright
     shrink = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log((F.col("n") - 1) / F.col("n")))
     later = (
         Window.partitionBy("part", "accepted").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,12 +114,13 @@ def calibration(decisions: DataFrame, part: Column) -> DataFrame:
     parts_after = Window.partitionBy("accepted").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     placed = folded.withColumn("tail", F.coalesce(F.sum("log_scale").over(parts_after), F.lit(0.0)))
     means = placed.groupBy("accepted").agg(
-        F.sum(F.exp("tail") * F.col("shift")).alias("mean"), F.sum("size").alias("size")
+        F.sum(F.exp("tail") * F.col("shift")).alias("shift"), F.when(F.max("resets"), F.lit(0.0)).otherwise(F.exp(F.sum("log_scale"))).alias("scale"), F.sum("size").alias("size")
+    )
+    moved = means.agg(
+        *[F.max(F.when(F.col("accepted") == kind, F.col(c))).alias(f"{name}_{c}") for kind, name in ((True, "accepted"), (False, "rejected")) for c in ("shift", "scale")], F.coalesce(F.sum("size"), F.lit(0)).alias("size")
     )
-    return means.agg(
-        F.round(F.coalesce(F.max(F.when(F.col("accepted"), F.col("mean"))), F.lit(0.0)), 6).alias("accepted_mean"),
-        F.round(F.coalesce(F.max(F.when(~F.col("accepted"), F.col("mean"))), F.lit(0.0)), 6).alias("rejected_mean"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("n"),
+    return moved.crossJoin(F.broadcast(stored)).select(
+        *[(F.coalesce(f"{k}_scale", F.lit(1.0)) * F.col(f"{k}_before") + F.coalesce(f"{k}_shift", F.lit(0.0))).alias(f"{k}_mean") for k in ("accepted", "rejected")], (F.col("n_before") + F.col("size")).alias("n")
     )
 
 
