@@ -8,6 +8,7 @@ asked; equal token sets are folded to one representative before they meet.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,10 @@ from marginalia.functions import identity, prose
 from marginalia.functions.basics import bind, present, strip
 from marginalia.functions.scoring import PRIORITY_RANK, rank_of
 from marginalia.functions.tokens import jaccard_or_zero
+from marginalia.operators import overlaps
 from marginalia.operators.harvest import first_of_each
 from marginalia.operators.ordering import numbered
-from marginalia.session import cut_lineage, written
+from marginalia.session import BROADCAST_ROWS, cut_lineage, written
 
 # Thresholds, categories and selection defaults.
 MERGE_THRESHOLD = 0.18
@@ -35,6 +37,10 @@ NEWS_EVIDENCE = "recent vendor/analyst announcement relevant to the vault PURPOS
 # End of the fixed values.
 
 
+#: rows of one key that a cell of a grid join takes from each side
+CELL_ROWS = 2_000
+
+
 # ---- similarity join ----------------------------------------------------------
 
 
@@ -112,7 +118,7 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
 
     narrow = side(lsets, "left").withColumn("band", _size_band("left_size", threshold))
     wide = side(rsets, "right").withColumn("band", F.explode(F.array(*[_size_band("right_size", threshold) + i for i in (-1, 0, 1)])))
-    met = narrow.join(wide, ["token", "band"]).where(
+    met = gridded(cut_lineage(narrow), cut_lineage(wide), ["token", "band"], "left_id", "right_id").where(
         _can_reach(threshold, "left_size", "right_size", "left_left", "right_left")
     )
     if same_side:
@@ -136,6 +142,30 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, same_side
     ).where(F.col("jaccard") >= threshold)
 
 
+def gridded(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, cell: int = CELL_ROWS) -> DataFrame:
+    """Equi-join on ``keys`` whose hot keys are dealt to a grid of cells.
+
+    The left rows of a key lie in rows of the grid, its right rows in columns, about ``cell`` of them in each; a left row goes to
+    every column, a right one to every row, and each pair meets in exactly one cell. So no task gets more than
+    about ``cell`` x ``cell`` meetings of a key, however many rows share it. A key with few rows is one cell.
+    """
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select(*keys, F.ceil(F.col("n") / cell).cast("int").alias(name))
+
+    # keys of more than ``cell`` rows on a side, which are a ``cell``-th of the rows at most
+    hot = cut_lineage(sizes(left, "rows").join(sizes(right, "columns"), keys, "full"))
+    hot = hot.select(*keys, *[F.coalesce(n, F.lit(1)).alias(n) for n in ("rows", "columns")])
+    few = hot.count() <= BROADCAST_ROWS
+
+    def dealt(side: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+        known = side.join(F.broadcast(hot) if few else hot, keys, "left")
+        return known.withColumn(f"_{own}", F.pmod(F.xxhash64(ident), F.coalesce(own, F.lit(1))).cast("int")).withColumn(
+            f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        ).drop("rows", "columns")
+
+    return dealt(left, left_id, "rows", "columns").join(dealt(right, right_id, "columns", "rows"), [*keys, "_rows", "_columns"]).drop("_rows", "_columns")
+
+
 def _near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of ``met`` whose hashed sets come up to the threshold.
 
@@ -171,39 +201,13 @@ def _unit_sets(members: DataFrame) -> DataFrame:
 def match_scores(gap_units: DataFrame, direction_units: DataFrame) -> DataFrame:
     """``(gap_unit, direction_unit, score)`` of unit pairs at the threshold.
 
-    The concept bonus is 0.05 per shared concept, at most 0.10. Either the words
-    alone reach the threshold, or the pair shares a concept as well as a word of
-    the longer prefix that a Jaccard of 0.08 asks for. Nothing else can pass, so
-    nothing else is built.
+    The concept bonus is 0.05 per shared concept, at most 0.10, so a pair with common concepts needs a Jaccard of
+    as little as 0.08. Overlaps are counted as a blocked matrix product (``overlaps``); what it proposes is scored on the words.
     """
     left, right = _unit_sets(gap_units), _unit_sets(direction_units)
-    every = left.select("terms").unionByName(right.select("terms"))
-    order = every.select(F.explode_outer("terms").alias("token")).where(present("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(side: DataFrame, threshold: float, name: str) -> DataFrame:
-        sets = side.select(F.col("unit").alias("set_id"), "terms")
-        return _prefix_tokens(sets, order, threshold).select(
-            F.col("set_id").alias(name), "token", F.col("size").alias(f"{name}_size"), F.col("left").alias(f"{name}_left")
-        )
-
-    def meet(threshold: float, keys: list[str], add) -> DataFrame:
-        g, d = add(left, prefixes(left, threshold, "gap_unit"), "gap_unit"), add(right, prefixes(right, threshold, "direction_unit"), "direction_unit")
-        reach = _can_reach(threshold, "gap_unit_size", "direction_unit_size", "gap_unit_left", "direction_unit_left")
-        return g.join(d, keys).where(reach)
-
-    def with_concepts(side: DataFrame, found: DataFrame, name: str) -> DataFrame:
-        concepts = side.select(F.col("unit").alias(name), F.explode_outer("concepts").alias("concept")).where(present("concept"))
-        return found.join(concepts, name)
-
-    by_words = meet(MERGE_THRESHOLD, ["token"], lambda side, found, name: found)
-    by_concept = meet(MERGE_THRESHOLD - CONCEPT_BONUS_CAP, ["concept", "token"], with_concepts)
+    sides = [side.select(F.col("unit").alias("id"), "terms", F.col("concepts").alias("labels")) for side in (left, right)]
     pair = ["gap_unit", "direction_unit"]
-    met = _near_pairs(
-        by_words.select(*pair).unionByName(by_concept.select(*pair)).distinct(),
-        left.select(F.col("unit").alias("gap_unit"), "terms"),
-        right.select(F.col("unit").alias("direction_unit"), "terms"),
-        MERGE_THRESHOLD - CONCEPT_BONUS_CAP,
-    )
+    met = overlaps.close_pairs(*sides, MERGE_THRESHOLD, CONCEPT_BONUS, CONCEPT_BONUS_CAP).toDF(*pair)
     g = left.select(F.col("unit").alias("gap_unit"), F.col("terms").alias("gt"), F.col("concepts").alias("gc"))
     d = right.select(F.col("unit").alias("direction_unit"), F.col("terms").alias("dt"), F.col("concepts").alias("dc"))
     jaccard = jaccard_or_zero(F.col("gt"), F.col("dt"))
@@ -219,38 +223,45 @@ def greedy_matches(gap_units: DataFrame, direction_units: DataFrame, scores: Dat
     stands for it. Every round takes the unit pairs that come first for both
     their sides and pairs off as many rows of the two as no tied rival could
     claim before them, so copies are matched in bulk and never multiplied out.
-    State between rounds is cut from the lineage by written tables.
+    State between rounds is cut from the lineage by written tables: how many rows of each unit are taken, one small keyed table.
     """
     pairs = written(scores)
-    gaps = written(numbered(gap_units.select("unit", "id"), "unit", "id"))
-    directions = written(numbered(direction_units.select("unit", "id"), "unit", "id"))
-    taken: DataFrame | None = None
+    # only rows whose unit has a pair can be matched
+    gaps, directions = (
+        written(numbered(units.join(pairs.select(F.col(f"{side}_unit").alias("unit")).distinct(), "unit", "left_semi").select("unit", "id"), "unit", "id"))
+        for units, side in ((gap_units, "gap"), (direction_units, "direction"))
+    )
+    taken: list[DataFrame] = []
+    used: DataFrame | None = None
     while True:
-        gap_heads = _heads(gaps, taken, "gap")
-        direction_heads = _heads(directions, taken, "direction")
+        gap_heads = _heads(gaps, used, "gap")
+        direction_heads = _heads(directions, used, "direction")
         live = pairs.join(gap_heads, "gap_unit").join(direction_heads, "direction_unit")
         place = F.struct((-F.col("score")).alias("s"), F.col("gap_head").alias("g"), F.col("direction_head").alias("d"))
         live = written(live.withColumn("place", place))
         if live.isEmpty():
             break
         matched = written(_paired_rows(_mutual_firsts(live), gaps, directions))
-        taken = matched if taken is None else taken.unionByName(matched)
+        taken.append(matched)
+        sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_unit").alias("unit")) for side in ("gap", "direction")])
+        done = matched.select(F.explode(sides).alias("u")).groupBy("u.side", "u.unit").agg(F.count(F.lit(1)).alias("used"))
+        used = written(done if used is None else used.unionByName(done).groupBy("side", "unit").agg(F.sum("used").alias("used")))
         pairs = live.select("gap_unit", "direction_unit", "score")
-    if taken is None:
+    if not taken:
         return pairs.select(F.col("gap_unit").alias("gap_id"), F.col("direction_unit").alias("direction_id"), "score")
-    return taken.select("gap_id", "direction_id", "score")
+    return reduce(DataFrame.unionByName, taken).select("gap_id", "direction_id", "score")
 
 
-def _heads(members: DataFrame, taken: DataFrame | None, side: str) -> DataFrame:
+def _heads(members: DataFrame, used: DataFrame | None, side: str) -> DataFrame:
     """Next free row of every unit that still has one.
 
     Rows of a unit are taken in order, so the number taken tells the next one.
     """
-    if taken is None:
+    if used is None:
         first = members.where("n = 1").withColumn("used", F.lit(0).cast("bigint"))
     else:
-        used = taken.groupBy(F.col(f"{side}_unit").alias("unit")).agg(F.count(F.lit(1)).alias("done"))
-        counted = members.join(used, "unit", "left").withColumn("used", F.coalesce("done", F.lit(0)))
+        own = used.where(F.col("side") == side).select("unit", F.col("used").alias("done"))
+        counted = members.join(own, "unit", "left").withColumn("used", F.coalesce("done", F.lit(0)))
         first = counted.where(F.col("n") == F.col("used") + 1)
     return first.select(F.col("unit").alias(f"{side}_unit"), F.col("id").alias(f"{side}_head"), F.col("used").alias(f"{side}_used"))
 
