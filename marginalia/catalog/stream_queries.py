@@ -7,6 +7,7 @@ checkpoint folder, writes a table there and returns that table.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from marginalia.catalog.base import query
 from marginalia.operators import spend
 from marginalia.plans import derived as dv
 from marginalia.session import checkpoint_root
-from marginalia.streaming import jobs
+from marginalia.streaming import jobs, stateful
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -119,3 +120,53 @@ def stream_and_batch_spend(spark: SparkSession, folder: str) -> DataFrame:
     streamed = stream_daily_spend(spark, folder).groupBy("date").agg(F.round(F.sum("cost"), 6).alias("streamed"))
     batch = spend.ledger_rows(dv.cost_calls(spark, folder)).groupBy("date").agg(F.round(F.sum("cost_usd"), 6).alias("batched"))
     return streamed.join(batch, "date", "full")
+
+
+# ---- streams whose state ends ----------------------------------------------------
+
+
+def event_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return stream_of(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.lit("url").alias("id_type"), F.lit("feed").alias("source_id"), F.concat(F.lit("u"), "user_id", "event_type").alias("url"), "event_id"
+    )
+
+
+@query(
+    "stream_first_seen",
+    """SELECT 'u' || user_id || event_type AS ident, arg_min(event_id, (epoch_ms(ts), event_id)) AS event_id FROM events WHERE user_id % 5 <> 0 GROUP BY ALL""",
+)
+def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    """Which candidate of each identity was kept; those of a stored seen cache are not new."""
+    target = place(spark, "first")
+    cache = spark.read.parquet(f"{folder}/events.parquet").where("user_id % 5 = 0").select(
+        F.concat(F.lit("u"), "user_id", "event_type").alias("ident"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    with stateful.keyed_state(spark):
+        return run_append(stateful.unseen(event_candidates(spark, folder), "event_id", timedelta(days=3650), known=cache).select("ident", "event_id"), target)
+
+
+@query(
+    "stream_closed_days",
+    f"""WITH {dv.CALLS_SQL} SELECT date, action, round(sum(cost_usd), 6) AS cost, count(*) AS calls FROM ledger
+WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def stream_closed_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Days that no row can still reach; each is given out once and its state is dropped."""
+    rows = stream_of(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"), F.round(F.col("value") / 1000, 6).alias("cost_usd"))
+    return run_append(jobs.daily_spend(rows), place(spark, "closed")).withColumn("cost", F.round("cost", 6))
+
+
+@query(
+    "stream_learned_once",
+    """WITH d AS (SELECT CASE WHEN user_id % 7 = 0 THEN '' ELSE 's' || user_id END AS source_id, ['rss', 'arxiv', 'web'][1 + user_id % 3] AS engine, event_type IN ('purchase', 'signup') AS accepted FROM events WHERE user_id % 10 <> 0 AND event_type IN ('purchase', 'signup', 'error'))
+SELECT 'source_id' AS part, source_id AS name, count(CASE WHEN accepted THEN 1 END) AS accept, count(CASE WHEN NOT accepted THEN 1 END) AS reject FROM d WHERE source_id <> '' GROUP BY source_id
+UNION ALL SELECT 'engine', engine, count(CASE WHEN accepted THEN 1 END), count(CASE WHEN NOT accepted THEN 1 END) FROM d GROUP BY engine""",
+)
+def stream_learned_once(spark: SparkSession, folder: str) -> DataFrame:
+    target = place(spark, "once")
+    events = stream_of(spark, folder, "events")
+    rows = dv.decisions_of(events.withColumn("ts", F.col("ts").cast("timestamp")), ["ts"])
+    with stateful.keyed_state(spark):
+        q = stateful.learned_once(rows, timedelta(days=3650), f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stateful.counted(spark, f"{target}/out")

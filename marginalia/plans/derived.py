@@ -265,8 +265,8 @@ def decision_rows(spark: SparkSession, folder: str) -> DataFrame:
     return decisions_of(read_table(spark, folder, "events"))
 
 
-def decisions_of(events: DataFrame) -> DataFrame:
-    """Decided ledger rows of a batch or stream of events."""
+def decisions_of(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Decided ledger rows of a batch or stream of events, with some of its columns."""
     u, i = F.col("user_id"), F.col("event_id")
     status = F.lit(None).cast("string")
     for event, name in DECISION_STATUS.items():
@@ -282,7 +282,7 @@ def decisions_of(events: DataFrame) -> DataFrame:
         F.when(u % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("s"), u)).alias("source_id"),
         _pick(u % 3, ["rss", "arxiv", "web"]).alias("engine"),
         F.when(i % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("value") / 1000).alias("relevance_score"),
-        F.when(F.col("event_type") == "error", reason).otherwise(F.lit("")).alias("rejection_reason"),
+        F.when(F.col("event_type") == "error", reason).otherwise(F.lit("")).alias("rejection_reason"), *(keep or []),
     )
 
 
