@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import fragments as fr
 from marginalia.catalog.base import query
-from marginalia.functions import identity, prose
+from marginalia.functions import identity, nested, prose
 from marginalia.functions.basics import bind, present
 from marginalia.operators import harvest
 from marginalia.plans.derived import CANDIDATES_SQL, HOST_SQL, PAGE_TEXT_SQL, page_candidates
-from marginalia.session import read_table
+from marginalia.session import read_table, written
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -345,3 +345,44 @@ def distinct_calls(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_suppkey") % 4).alias("category"),
     )
     return harvest.distinct_calls(calls).agg(F.count(F.lit(1)).alias("calls"))
+
+
+# ---- nested headers ---------------------------------------------------------------
+
+
+def nested_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as pages with a nested header."""
+    i = F.col("doc_id")
+    text = F.concat(
+        F.lit("---\nID: "), i, F.lit("\ncreated: "), F.format_string("2023-%02d-%02d", i % 12 + 1, i % 28 + 1), F.lit("\nsolved: "), F.when(i % 3 == 0, "yes").otherwise("no"),
+        F.lit("\nscore: "), i, F.lit(".5\nmeta:\n  lang: "), "lang", F.lit("  # of the text\n  counts:\n    chars: "), "n_chars", F.lit("\n    empty:\nsources:\n- name: "), "source",
+        F.lit("\n  tags: [a, 'it''s', "), i % 7, F.lit("]\n- name: \"second\"\n"), F.when(i % 10 == 0, F.lit("broken: a: b\n")).otherwise(F.lit("")), F.lit("---\nbody\n"),
+    )
+    return read_table(spark, folder, "documents").select("doc_id", text.alias("text"))
+
+
+@query(
+    "nested_fields",
+    """SELECT doc_id, CASE WHEN ok THEN doc_id END AS id, CASE WHEN ok THEN cast(printf('2023-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1) AS date) END AS created, CASE WHEN ok THEN doc_id % 3 = 0 END AS solved,
+  CASE WHEN ok THEN doc_id + 0.5::DOUBLE END AS score, CASE WHEN ok THEN lang END AS lang, CASE WHEN ok THEN n_chars END AS chars, CASE WHEN ok THEN source END AS first_source, CASE WHEN ok THEN 'second' END AS second_source,
+  CASE WHEN ok THEN 'a|it''s|' || doc_id % 7 END AS tags FROM (SELECT *, doc_id % 10 <> 0 AS ok FROM documents)""",
+)
+def nested_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed fields of nested headers; a header that is malformed in one line has none."""
+    # written, so that a header is read once and not for each field
+    read = written(nested_pages(spark, folder).select("doc_id", nested.header("text").alias("h")))
+    fields = {"id": ("$.ID", "bigint"), "created": ("$.created", "date"), "solved": ("$.solved", "boolean"), "score": ("$.score", "double"), "lang": ("$.meta.lang", "string"), "chars": ("$.meta.counts.chars", "bigint"), "first_source": ("$.sources[0].name", "string"), "second_source": ("$.sources[1].name", "string")}
+    tags = F.array_join(nested.field("h", "$.sources[0].tags", "array<string>"), "|").alias("tags")
+    return read.select("doc_id", *[nested.field("h", path, kind).alias(name) for name, (path, kind) in fields.items()], tags)
+
+
+@query(
+    "serialised_headers",
+    """SELECT doc_id, '---' || chr(10) || CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'ID: ' || doc_id || chr(10) || 'created: "' || printf('2023-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1) || '"' || chr(10)
+  || 'meta: {"counts":{"chars":' || n_chars || ',"empty":null},"lang":"' || lang || '"}' || chr(10) || 'score: ' || doc_id || '.5' || chr(10) || 'solved: ' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END || chr(10)
+  || 'sources: [{"name":"' || source || '","tags":["a","it''s",' || doc_id % 7 || ']},{"name":"second"}]' || chr(10) END || '---' || chr(10) AS header FROM documents""",
+)
+def serialised_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical headers, written, read and written again."""
+    once = written(nested_pages(spark, folder).select("doc_id", nested.serialised(nested.header("text")).alias("header")))
+    return once.select("doc_id", nested.serialised(nested.header("header")).alias("header"))
