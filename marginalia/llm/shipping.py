@@ -1,28 +1,5 @@
 """The package for Python workers that cannot import it by themselves."""
 
-from __future__ import annotations
+from marginalia.shipping import ship
 
-import os
-import tempfile
-import zipfile
-
-from pyspark.sql import SparkSession
-
-_sent: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand the package's source to Spark once an application; Spark copies it to every executor, as with ``--py-files``."""
-    sc = spark.sparkContext
-    if sc.applicationId in _sent:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="marginalia-source-"), "marginalia.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    _sent.add(sc.applicationId)
+__all__ = ["ship"]
