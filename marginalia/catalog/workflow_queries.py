@@ -13,7 +13,7 @@ from marginalia.catalog.objective_queries import CTE as NODES_CTE
 from marginalia.catalog.objective_queries import nodes
 from marginalia.catalog.stream_queries import place
 from marginalia.functions import identity
-from marginalia.operators import context
+from marginalia.operators import calls, context
 from marginalia.operators import sources_ledger as led
 from marginalia.plans import derived as dv
 from marginalia.plans import workflows
@@ -144,3 +144,78 @@ def due_topics(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderdate",
     )
     return context.due_topics(topics, F.col("o_orderdate")).select("o_orderkey")
+
+
+# ---- calls of a plan ---------------------------------------------------------------
+
+
+def call_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as targets; some have queries for one engine, some have none at all."""
+    i = F.col("doc_id")
+    words = F.split("text", r"\s+")
+    queries = F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(0)), F.concat(F.lit("q"), i % 9)))
+    own = F.when(i % 4 == 0, F.create_map(F.lit("arxiv"), F.array(F.concat(F.lit("a"), i)), F.lit("forum"), F.array(F.lit("f1"), F.lit("f2"), F.lit("f3")))).otherwise(F.create_map().cast("map<string,array<string>>"))
+    return read_table(spark, folder, "documents").select(
+        i.alias("doc_id"), F.format_string("T-%06d", i).alias("target_id"), F.when(i % 3 == 0, "research").otherwise("gap").alias("lane"), queries.alias("queries"), own.alias("queries_by_engine"),
+        F.when(i % 2 == 0, F.array(F.lit("web"), F.lit("forum"))).otherwise(F.array(F.lit("arxiv"))).alias("fillable_by"),
+    )
+
+
+def call_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to three sources for two of three targets."""
+    i = F.col("doc_id")
+    ids = F.filter(F.array(*[F.when(i % 6 != 3, F.concat(F.lit("p"), (i * k) % 190 + 1)) for k in (1, 1, 7)]), lambda x: x.isNotNull())
+    return call_targets(spark, folder).select("target_id", F.posexplode_outer(ids).alias("position", "source_id")).where("source_id is not null")
+
+
+def call_registry(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read_table(spark, folder, "part").select(
+        F.concat(F.lit("p"), k).alias("source_id"), dv._pick(k % 3, dv.SECTIONS).alias("section"), F.when(k % 12 == 0, "conference").otherwise("x").alias("category"), dv._pick(k % 4, ["arxiv", "openalex", "", "arxiv"]).alias("engine"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("feed"), k % 50)).alias("feed"), F.concat(F.lit("repo"), k % 20).alias("url"), F.when(k % 8 == 0, "cs.AR").alias("subject"),
+    )
+
+
+CALLS_OF_PLAN_SQL = r"""
+t AS (SELECT doc_id AS i, printf('T-%06d', doc_id) AS target_id, CASE WHEN doc_id % 3 = 0 THEN 'research' ELSE 'gap' END AS lane,
+  CASE WHEN doc_id % 5 = 0 THEN [] ELSE [regexp_split_to_array(text, '\s+')[1], regexp_split_to_array(text, '\s+')[1], 'q' || doc_id % 9] END AS qs FROM documents),
+flat AS (SELECT *, CASE WHEN len(qs) > 0 THEN qs ELSE [target_id] END AS fq, CASE WHEN i % 4 = 0 THEN ['a' || i] WHEN len(qs) > 0 THEN qs ELSE [target_id] END AS aq FROM t),
+r AS (SELECT target_id, unnest(['p' || (i % 190 + 1), 'p' || (i % 190 + 1), 'p' || (i * 7 % 190 + 1)]) AS source_id, unnest([0, 1, 2]) AS position FROM t WHERE i % 6 <> 3),
+reg AS (SELECT 'p' || p_partkey AS source_id, p_partkey % 3 AS s, p_partkey % 12 = 0 AS conf, ['arxiv', 'openalex', '', 'arxiv'][1 + p_partkey % 4] AS engine, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'feed' || p_partkey % 50 END AS feed,
+  'repo' || p_partkey % 20 AS url, CASE WHEN p_partkey % 8 = 0 THEN 'cs.AR' ELSE '' END AS subject FROM part),
+j AS (SELECT * FROM r JOIN reg USING (source_id) JOIN flat USING (target_id)),
+raw AS (
+  SELECT target_id, 0 AS g, position, 0 AS n, 'github' AS engine, url AS query, '' AS category FROM j WHERE s = 2
+  UNION ALL SELECT target_id, 0, position, 0, 'rss', feed, '' FROM j WHERE feed IS NOT NULL AND (s = 1 OR (s = 0 AND (conf OR engine = '')))
+  UNION ALL SELECT target_id, 0, position, unnest(range(len(q))) AS n, engine, unnest(q), CASE WHEN engine = 'arxiv' THEN subject ELSE '' END FROM (SELECT *, CASE WHEN engine = 'arxiv' THEN aq ELSE fq END AS q FROM j WHERE s = 0 AND NOT conf AND engine <> '')
+  UNION ALL SELECT target_id, 1, 0, unnest(range(2)), 'hackernews', unnest(CASE WHEN i % 4 = 0 THEN ['f1', 'f2'] WHEN len(qs) > 0 THEN qs[1:2] ELSE [target_id, NULL] END), '' FROM flat WHERE i % 2 = 0
+  UNION ALL SELECT target_id, 2, 0, unnest(range(len(aq))), 'arxiv', unnest(aq), '' FROM flat WHERE lane = 'research' AND i % 6 = 3),
+once AS (SELECT target_id, engine, query, category, min((g, position, n)) AS place FROM raw WHERE query IS NOT NULL GROUP BY ALL),
+calls AS (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY place) AS nth, engine, query, category FROM once)"""
+
+
+@query("planned_calls", f"WITH {CALLS_OF_PLAN_SQL} SELECT * FROM calls")
+def planned_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return calls.planned_calls(call_targets(spark, folder), call_routes(spark, folder), call_registry(spark, folder))
+
+
+@query(
+    "budgeted_calls",
+    f"""WITH {CALLS_OF_PLAN_SQL}, s AS (SELECT *, sum(CASE WHEN engine = 'arxiv' THEN 3 ELSE 1 END) OVER (PARTITION BY engine ORDER BY target_id, nth) AS spent FROM calls)
+SELECT target_id, nth, engine, query, category, cast(spent AS bigint) AS spent FROM s WHERE engine NOT IN ('arxiv', 'rss', 'github') OR spent <= CASE engine WHEN 'arxiv' THEN 500 WHEN 'rss' THEN 40 ELSE 0 END""",
+)
+def budgeted_calls(spark: SparkSession, folder: str) -> DataFrame:
+    planned = planned_calls(spark, folder).withColumn("place", F.format_string("%s-%06d", "target_id", "nth"))
+    budgets = spark.createDataFrame([("arxiv", 500), ("rss", 40), ("github", 0)], "engine string, budget long")
+    return calls.within_budget(planned, "place", budgets, F.when(F.col("engine") == "arxiv", 3).otherwise(1)).drop("place")
+
+
+@query(
+    "news_target",
+    f"""WITH {dv.REGISTRY_SQL}, n AS (SELECT source_id, round(relevance * CASE category WHEN 'vendor_blogs' THEN 0.5 ELSE 1.0 END, 6) AS w FROM registry
+  WHERE section = 'blog-newsfeed' AND category IN ('vendor_blogs', 'benchmarking', 'hardware_analysis', 'specialist_research') ORDER BY w DESC, source_id LIMIT 5)
+SELECT 'news' AS target_id, 'news' AS lane, 'medium' AS priority, 'news' AS origins, string_agg(source_id, ',' ORDER BY w DESC, source_id) AS routed FROM n""",
+)
+def news_target(spark: SparkSession, folder: str) -> DataFrame:
+    found = calls.news_target(dv.registry(spark, folder), {"vendor_blogs": 0.5})
+    return found.select("target_id", "lane", "priority", F.array_join("origin_ids", ",").alias("origins"), F.array_join("routed", ",").alias("routed"))
