@@ -24,8 +24,12 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def stream_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table, one file or a folder of files, as a stream.
+
+    The last letter is a pattern of one letter: the path of a stream must be a folder unless it is a pattern.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_complete(df: DataFrame, target: str) -> DataFrame:
@@ -90,7 +94,9 @@ def stream_skill_tokens(spark: SparkSession, folder: str) -> DataFrame:
         F.when(n % 10 == 0, F.lit(None).cast("bigint")).otherwise(F.floor(n / 4)).alias("input_tokens"),
         F.floor(n / 8).alias("output_tokens"), (n % 5).alias("cache_read_tokens"), (n % 3).alias("cache_create_tokens"),
     )
-    return run_complete(jobs.skill_tokens(rows), place(spark, "tokens"))
+    # a total for every session: their state does not stay in the executors' heap
+    with stateful.keyed_state(spark):
+        return run_complete(jobs.skill_tokens(rows), place(spark, "tokens"))
 
 
 @query(

@@ -72,3 +72,12 @@ def test_match_trace_has_one_merge_per_unit_match(spark):
     assert merged.where("merged = 0").count() == 0 and trace.where("decision <> 'MERGED' AND merged > 0").count() == 0
     best = trace.orderBy(F.col("score").desc(), "gap_unit", "direction_unit").first()
     assert best is None or best["decision"] == "MERGED"
+
+
+@pytest.mark.parametrize("name", ["stream_skill_tokens", "stream_unseen"])
+def test_streams_read_a_table_that_is_a_folder_of_files(spark, tmp_path, name):
+    """Both forms of a table give the same rows; a folder was read as empty."""
+    table = {"stream_skill_tokens": "conversations", "stream_unseen": "events"}[name]
+    spark.read.parquet(f"{DATA}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    run = load()[name].run
+    assert sorted(map(str, run(spark, str(tmp_path)).collect())) == sorted(map(str, run(spark, DATA).collect())) != []
