@@ -81,3 +81,13 @@ def test_near_duplicates_of_sets_that_all_share_one_token(spark, monkeypatch):
         first.setdefault(tuple(words), i)
     reps = sorted((i, set(words)) for words, i in first.items())
     assert got == {(i, j) for i, a in reps for j, b in reps if i < j and len(a & b) / len(a | b) >= 0.6}
+
+
+def test_scores_are_counted_where_pairs_are_found(spark, monkeypatch):
+    """No words of close pairs are joined, however many pairs there are; few tokens are dense here, the others are postings."""
+    (left, right), _ = sides(spark, 8)
+    units = [side.select(F.col("id"), F.col("id").alias("unit"), "terms", F.col("labels").alias("concepts")) for side in (left, right)]
+    monkeypatch.setattr(overlaps, "DENSE_ENTRIES", 100)
+    scored = decide.match_scores(*units)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count() > 0
