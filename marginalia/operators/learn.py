@@ -18,10 +18,14 @@ MIN_REASONS = 2
 # End of the fixed values.
 
 
+def decided_rows(ledger: DataFrame, agent: str = "web") -> DataFrame:
+    """Accepted and rejected rows of an agent."""
+    return ledger.where((F.col("discovered_by") == agent) & F.col("status").isin(*ACCEPTED, *REJECTED))
+
+
 def new_decisions(ledger: DataFrame, processed: DataFrame, agent: str = "web") -> DataFrame:
     """Decided rows of an agent that were not counted before."""
-    decided = ledger.where((F.col("discovered_by") == agent) & F.col("status").isin(*ACCEPTED, *REJECTED))
-    return decided.join(processed.select("id"), "id", "left_anti").withColumn("accepted", F.col("status").isin(*ACCEPTED))
+    return decided_rows(ledger, agent).join(processed.select("id"), "id", "left_anti").withColumn("accepted", F.col("status").isin(*ACCEPTED))
 
 
 def counts_by(decisions: DataFrame, key: str) -> DataFrame:

@@ -74,3 +74,17 @@ def test_closed_days_leave_the_state(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "days" / "out")).orderBy("date").collect()
     assert [(str(r["date"]), r["calls"]) for r in got] == [(f"2024-01-0{d}", 4) for d in range(1, 6)]
     assert spark.read.parquet(str(tmp_path / "days" / "out")).groupBy("date").count().where(F.col("count") > 1).count() == 0
+
+
+def test_only_decisions_get_to_the_state(spark, tmp_path):
+    """A row that waits takes no state and does not hide the decision that comes later."""
+    root = str(tmp_path / "counts")
+    status = [["waiting_approval"] * 30, ["rejected"] * 10 + ["deleted"] * 20]
+    batches = [[(i, s, "web", "s", "e", datetime(2024, 1, 1 + b)) for i, s in enumerate(names)] for b, names in enumerate(status)]
+
+    def start(stream):
+        return stateful.learned_once(stream, timedelta(days=5), root).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+
+    sizes = feed(spark, tmp_path, "decided", batches, LEDGER, start)
+    got = {(r["part"], r["name"]): (r["accept"], r["reject"]) for r in stateful.counted(spark, root).collect()}
+    assert got == {("source_id", "s"): (0, 10), ("engine", "e"): (0, 10)} and sizes[0][0] == 0
