@@ -64,6 +64,28 @@ def test_greedy_matches_equal_the_sorted_walk_with_copies_and_ties(spark):
         assert {(r["gap_id"], r["direction_id"], r["score"]) for r in found.collect()} == walk(gaps, directions), case
 
 
+def test_greedy_matches_in_narrow_bands_equal_the_sorted_walk(spark, monkeypatch):
+    """Bands of few pairs, and levels too large for a band: tables written do not grow with the rounds."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(9)]
+
+    def side(prefix, n):
+        return [(f"{prefix}{i:03d}", s, ["c"]) for i, s in enumerate(random_sets(rng, n, words, n // 2))]
+
+    gaps, directions = side("g", 14), side("d", 12)
+    schema = "id string, terms array<string>, concepts array<string>"
+    left, right = (decide.match_units(spark.createDataFrame(rows, schema)) for rows in (gaps, directions))
+    scores = decide.written(decide.match_scores(left, right))
+    real = decide.written
+    for band in (2, 20, 1 << 19):
+        made = []
+        monkeypatch.setattr(decide, "BAND", band)
+        monkeypatch.setattr(decide, "written", lambda x: made.append(out := real(x)) or out)
+        found = decide.greedy_matches(left, right, scores)
+        assert {(r["gap_id"], r["direction_id"], r["score"]) for r in found.collect()} == walk(gaps, directions), band
+    assert len(made) <= 10
+
+
 def test_no_match_gives_an_empty_result(spark):
     schema = "id string, terms array<string>, concepts array<string>"
     left = decide.match_units(spark.createDataFrame([("g", ["aaaa"], ["c"])], schema))
