@@ -11,7 +11,7 @@ from marginalia.functions import prose
 from marginalia.operators import codebase, graph, learn, reports, spend, stats
 from marginalia.operators import decide, gaps, harvest, objectives
 from marginalia.plans import derived as dv
-from marginalia.session import cut_lineage, read_table
+from marginalia.session import read_table, written
 
 FOLDERS = ["src", "lib", "tests", "node_modules", "docs", "app", ".git", "build"]
 SUFFIXES = [".py", ".PY", ".js", ".md", ".rs", ".bin", ".tsx", ".h", ""]
@@ -314,8 +314,8 @@ WHERE gap_id IN (SELECT unit FROM unit) AND direction_id IN (SELECT unit FROM un
 def match_trace(spark: SparkSession, folder: str) -> DataFrame:
     """What became of every scored unit pair, and how many of its rows were merged."""
     left, right = decide_queries.matching_sides(spark, folder)
-    scores = cut_lineage(decide.match_scores(left, right))
-    found = decide.greedy_matches(left, right, scores)
+    scores = written(decide.match_scores(left, right))
+    found = decide.greedy_matches(left, right, scores, is_written=True)
     return reports.trace_lines(scores.withColumn("score", F.round("score", 6)), found, left, right)
 
 

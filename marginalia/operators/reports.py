@@ -14,8 +14,11 @@ from pyspark.sql.window import Window
 
 from marginalia.operators import spend
 from marginalia.operators.graph import CHECKS
+from marginalia.session import written
 
 ITEMS_PER_CHECK = 20
+#: merged unit pairs up to so many are broadcast
+BROADCAST_UNITS = 1_000_000
 
 
 def _lines(df: DataFrame, part: int, pos: Column, line: Column) -> DataFrame:
@@ -110,7 +113,11 @@ def trace_lines(pairs: DataFrame, matches: DataFrame, gap_rows: DataFrame, direc
     gap_of = gap_rows.select(F.col("unit").alias("gap_unit"), F.col("id").alias("gap_id"))
     direction_of = direction_rows.select(F.col("unit").alias("direction_unit"), F.col("id").alias("direction_id"))
     merged = matches.join(gap_of, "gap_id").join(direction_of, "direction_id").groupBy("gap_unit", "direction_unit").agg(F.count(F.lit(1)).alias("merged"))
+    # at most as many rows as there are units on a side; the pairs, of which there may be many more, are not shuffled for them
+    merged = written(merged)
     gaps = merged.select("gap_unit", F.lit(True).alias("gap_taken")).distinct()
+    few = merged.count() <= BROADCAST_UNITS
+    merged, gaps = (F.broadcast(rows) if few else rows for rows in (merged, gaps))
     both = pairs.join(merged, ["gap_unit", "direction_unit"], "left").join(gaps, "gap_unit", "left")
     decision = F.when(F.col("merged") > 0, "MERGED").when(F.col("gap_taken"), "gap-consumed").otherwise("direction-consumed")
     return both.select("gap_unit", "direction_unit", "score", F.coalesce("merged", F.lit(0)).alias("merged"), decision.alias("decision"))
