@@ -337,10 +337,6 @@ def routed_sources(wanted: DataFrame, registry: DataFrame, reputations: DataFram
             "rep", F.coalesce("rep", F.lit(0.0))
         )
     base = F.round(F.col("relevance") + F.col("rep"), 6)
-    tags = wanted.select("target_id", "keywords", F.posexplode_outer("fillable_by").alias("tag_pos", "tag")).where(present("tag_pos")).withColumn(
-        "tag", F.lower("tag")
-    )
-
     def first_five(section: str, tag: str, kept: Column) -> DataFrame:
         rows = reg.where((F.col("section") == section) & kept).select(F.lit(tag).alias("tag"), "source_id", base.alias("value"))
         return rows.orderBy(F.col("value").desc(), "source_id").limit(ROUTED_SOURCES)
@@ -350,19 +346,38 @@ def routed_sources(wanted: DataFrame, registry: DataFrame, reputations: DataFram
         .unionByName(first_five("github-repos", "github", F.lit(True)))
         .unionByName(first_five("blog-newsfeed", "web", F.lit(True)))
     )
-    plain = tags.select("target_id", "tag_pos", "tag").join(F.broadcast(tops), "tag").drop("tag")
-    routed = plain.unionByName(_keyword_routes(tags.where(F.col("tag") == "web"), reg, base))
-    best = routed.groupBy("target_id", "tag_pos", "source_id").agg(F.max("value").alias("value"))
-    place = F.struct("tag_pos", (-F.col("value")).alias("neg"), "source_id")
-    first = best.groupBy("target_id", "source_id").agg(F.min(place).alias("at"))
-    order = Window.partitionBy("target_id").orderBy("at")
-    return (
-        first.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= ROUTED_SOURCES)
-        .select("target_id", F.col("position").cast("bigint").alias("position"), "source_id")
+    # one row: the five of each tag
+    def of_tag(tag: str) -> Column:
+        return F.collect_list(F.when(F.col("tag") == tag, F.struct("value", "source_id"))).alias(f"{tag}_top")
+
+    tops = tops.agg(*[of_tag(tag) for tag in ("arxiv", "github", "web")])
+    asked = wanted.select("target_id", "fillable_by", _asked(F.col("keywords")).alias("asked"))
+    best = _keyword_routes(asked.where(F.exists("fillable_by", lambda t: F.lower(t) == "web")).select("asked"), reg, base)
+    joined = asked.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, "asked", "left").crossJoin(F.broadcast(tops))
+    none = F.expr("cast(array() as array<struct<value: double, source_id: string>>)")
+
+    def entries(tag: Column, at: Column) -> Column:
+        web = F.concat("web_top", F.coalesce("feeds", none))
+        own = F.when(F.lower(tag) == "arxiv", F.col("arxiv_top")).when(F.lower(tag) == "github", F.col("github_top")).when(F.lower(tag) == "web", web).otherwise(none)
+        return F.transform(own, lambda x: F.struct(at.alias("tag_pos"), (-x["value"]).alias("neg"), x["source_id"].alias("source_id")))
+
+    def firsts(found: Column) -> Column:
+        """The first five sources, each at its first place: places by tag, value and id."""
+        return F.slice(F.array_distinct(F.transform(F.sort_array(found), lambda x: x["source_id"])), 1, ROUTED_SOURCES)
+
+    # a target's candidates are an array of a few entries: no candidate is a row that is shuffled or aggregated
+    found = joined.select("target_id", F.flatten(F.transform("fillable_by", entries)).alias("found")).where(F.size("found") > 0)
+    found = found.groupBy("target_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return found.select("target_id", F.posexplode(firsts(F.col("found"))).alias("position", "source_id")).select(
+        "target_id", (F.col("position") + 1).cast("bigint").alias("position"), "source_id"
     )
 
 
+def _asked(keywords: Column) -> Column:
+    """A keyword list as it is looked for: lower-cased, in order, repeats kept."""
+    return F.sort_array(F.filter(F.transform(keywords, lambda k: F.lower(k)), lambda k: k != ""))
+
+
 def _grams(text: Column) -> Column:
     """Distinct pieces of one to four characters of a text."""
     def of_size(k: int) -> Column:
@@ -372,31 +387,34 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of_size(k) for k in (1, 2, 3, 4)]))
 
 
-def _keyword_routes(tags: DataFrame, reg: DataFrame, base: Column) -> DataFrame:
-    """Feeds whose focus text holds a target's keywords, half a point per hit.
+def _keyword_routes(asked: DataFrame, reg: DataFrame, base: Column) -> DataFrame:
+    """``(asked, feeds)``: the five feeds of highest value whose focus text holds one of the keywords, half a point per hit.
 
-    Distinct keywords meet the feeds on the keyword's first four characters and
-    are then verified. Targets with the same keyword list are ranked once and
-    take the best five of that list.
+    Distinct keywords meet the distinct focus texts on the keyword's first four characters and
+    are then verified. Feeds that hold the same keywords get the same hits from every target, so of each such class its five of highest
+    base can be among anybody's best five: classes, not feeds, meet the distinct keyword lists, a list and a class once, on
+    the first word that they share.
     """
     focus = F.lower(F.concat_ws(" ", "focus", "name"))
     feeds = reg.where(F.col("section") == "blog-newsfeed").select("source_id", base.alias("base"), focus.alias("focus"))
-    asked = (
-        tags.select("keywords")
-        .distinct()
-        .select("keywords", F.explode_outer(F.transform("keywords", lambda k: F.lower(k))).alias("kw")).where(present("kw"))
-        .where("kw <> ''")
-        .groupBy("keywords", "kw")
-        .agg(F.count(F.lit(1)).alias("times"))
+    lists = written(asked.distinct().where(F.size("asked") > 0))
+    list_words = lists.select("asked", F.explode(F.array_distinct("asked")).alias("kw"))
+    words = list_words.select("kw").distinct().withColumn("gram", F.substring("kw", 1, 4))
+    texts = feeds.select("focus").distinct()
+    pieces = texts.select("focus", F.explode_outer(_grams(F.col("focus"))).alias("gram")).where(present("gram"))
+    held = words.join(pieces, "gram").where(F.contains("focus", F.col("kw"))).groupBy("focus").agg(F.sort_array(F.collect_set("kw")).alias("held"))
+    place = Window.partitionBy("held").orderBy(F.col("base").desc(), "source_id")
+    first = feeds.join(held, "focus").select("held", "source_id", "base", F.row_number().over(place).alias("n")).where(F.col("n") <= ROUTED_SOURCES)
+    classes = written(first.groupBy("held").agg(F.collect_list(F.struct("source_id", "base")).alias("feeds")))
+    met = gridded(list_words, classes.select("held", "feeds", F.explode("held").alias("kw")), ["kw"], "asked", "held")
+    met = met.where(F.array_min(F.array_intersect("asked", "held")) == F.col("kw"))
+    hits = F.size(F.filter("asked", lambda w: F.array_contains("held", w)))
+    valued = met.select("asked", hits.alias("hits"), F.explode("feeds").alias("f")).select(
+        "asked", "f.source_id", F.round(F.col("f.base") + F.col("hits") * 0.5, 6).alias("value")
     )
-    words = asked.select("kw").distinct().withColumn("gram", F.substring("kw", 1, 4))
-    pieces = feeds.select("source_id", "base", "focus", F.explode_outer(_grams(F.col("focus"))).alias("gram")).where(present("gram"))
-    hits = words.join(pieces, "gram").where(F.contains("focus", F.col("kw"))).select("kw", "source_id", "base")
-    scored = asked.join(hits, "kw").groupBy("keywords", "source_id", "base").agg(F.sum("times").alias("hits"))
-    valued = scored.select("keywords", "source_id", F.round(F.col("base") + F.col("hits") * 0.5, 6).alias("value"))
-    order = Window.partitionBy("keywords").orderBy(F.col("value").desc(), "source_id")
-    best = valued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROUTED_SOURCES).drop("n")
-    return tags.join(best, "keywords").select("target_id", "tag_pos", "source_id", "value")
+    order = Window.partitionBy("asked").orderBy(F.col("value").desc(), "source_id")
+    best = valued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROUTED_SOURCES)
+    return written(best.groupBy("asked").agg(F.collect_list(F.struct("value", "source_id")).alias("feeds")))
 
 
 # ---- selection ----------------------------------------------------------------

@@ -86,6 +86,25 @@ def test_greedy_matches_in_narrow_bands_equal_the_sorted_walk(spark, monkeypatch
     assert len(made) <= 10
 
 
+def test_routes_meet_classes_of_feeds(spark, monkeypatch):
+    """However many feeds hold the same keywords, a keyword list meets them once."""
+    rng = random.Random(8)
+    words = ["large", "ring", "hot", "bolt", "rin", "g b"]
+    feeds = [(f"s{i:03d}", " ".join(rng.sample(words, 2)), "N", "blog-newsfeed", "x", rng.randint(1, 3)) for i in range(120)]
+    reg = spark.createDataFrame(feeds, "source_id string, focus string, name string, section string, category string, relevance long")
+    wanted = [(f"t{i}", ["web"], [rng.choice([*words, "Ring", "", None]) for _ in range(3)]) for i in range(25)]
+    plain = set()
+    for target, _, keys in wanted:
+        value = [(-(r + 0.5 * sum(1 for k in keys if k and k.lower() in f"{focus} n")), s) for s, focus, _, _, _, r in feeds]
+        plain |= {(target, n + 1, s) for n, (_, s) in enumerate(sorted(value)[:5])}
+    seen, real = [], decide.gridded
+    monkeypatch.setattr(decide, "gridded", lambda *a: seen.append(real(*a)) or seen[-1])
+    routed = decide.routed_sources(spark.createDataFrame(wanted, "target_id string, fillable_by array<string>, keywords array<string>"), reg)
+    assert {tuple(r) for r in routed.collect()} == plain
+    # at most 2 ** 6 classes of 120 feeds, of which a word is held by far fewer
+    assert seen and seen[0].count() <= 25 * 3 * 20
+
+
 def test_no_match_gives_an_empty_result(spark):
     schema = "id string, terms array<string>, concepts array<string>"
     left = decide.match_units(spark.createDataFrame([("g", ["aaaa"], ["c"])], schema))
