@@ -242,6 +242,18 @@ def test_probabilities_sum_to_one_also_where_keys_are_dropped(llm, monkeypatch):
             assert np.abs(total - 1).max() < 1e-3
 
 
+def test_no_key_is_dropped_however_few_cells_are_sent(llm, monkeypatch):
+    rows = [(i, text, lang) for i in range(40) for lang in TEXTS for text in [" ".join(TEXTS[lang])]]
+    rows += [(500, None, "aa"), (501, "12 !?", "bb"), (502, "los ríos", None), (503, "日本 xyz the", None), (503, "the rivers ran in the rim", None)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = [sorted(map(tuple, languages.languages(df).select("doc_id", "lang_pred", "accepted", "n_characters", "cross_entropy", "score").fillna(-1).collect()))]
+    monkeypatch.setattr(languages, "CELLS", 100)
+    judged.append(sorted(map(tuple, languages.languages(df).select("doc_id", "lang_pred", "accepted", "n_characters", "cross_entropy", "score").fillna(-1).collect())))
+    assert len(judged[0]) == len(judged[1]) == len(rows)
+    for one, other in zip(*judged):
+        assert one[:4] == other[:4] and one[4:] == pytest.approx(other[4:], rel=1e-4, abs=1e-4)
+
+
 def test_sorted_hashes_find_all_and_nothing_else():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 5000):
