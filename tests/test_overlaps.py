@@ -1,10 +1,14 @@
 """Blocked overlaps and grid joins against plain loops."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import decide, overlaps
+from marginalia.session import spread_keys
 
 
 def sides(spark, seed):
@@ -91,3 +95,39 @@ def test_scores_are_counted_where_pairs_are_found(spark, monkeypatch):
     scored = decide.match_scores(*units)
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.count() > 0
+
+
+def cell_side(rows):
+    """A cell's side as it travels; all tokens are rare ones."""
+    lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2)]
+    return pa.table({"id": [r[0] for r in rows], "terms": lists[0], "labels": lists[1], "common": pa.array([[]] * len(rows), pa.list_(pa.int16()))})
+
+
+@pytest.mark.parametrize("counters, dense", [(1 << 22, 1 << 23), (400, 1 << 23), (400, 0)])
+def test_a_cell_multiplies_only_blocks_that_can_have_close_pairs(monkeypatch, counters, dense):
+    """Sets lie by labels and size, so a pair of blocks whose sizes are too far apart for its labels is not looked at; the others give all pairs."""
+    rng = np.random.default_rng(counters)
+    sides = [[(i, [*range(0, n := int(rng.choice([3, 4, 60, 70]))), 1000 + i % 7], [i % 2, 5] if i % 3 else []) for i in range(150)] for _ in range(2)]
+    monkeypatch.setattr(overlaps, "CELL_COUNTERS", counters)
+    monkeypatch.setattr(overlaps, "DENSE_ENTRIES", dense)
+    looked_at, real = [], overlaps.Side.overlaps
+    monkeypatch.setattr(overlaps.Side, "overlaps", lambda self, left: looked_at.append(len(left.tokens)) or real(self, left))
+    got = overlaps._close(0.18, 0.05, 0.10, None, *[cell_side(rows) for rows in sides]).to_pylist()
+
+    def score(a, b):
+        x, y = set(a[1]), set(b[1])
+        return len(x & y) / len(x | y) + min(0.05 * len(set(a[2]) & set(b[2])), 0.10)
+
+    expected = {(a[0], b[0]): score(a, b) for a in sides[0] for b in sides[1] if set(a[1]) & set(b[1]) and score(a, b) >= 0.18}
+    assert {(r["left_id"], r["right_id"]): r["score"] for r in got} == pytest.approx(expected) and len(got) == len(expected) > 0
+    blocks = [-(-150 // math.isqrt(counters))] * 2
+    # one product of labels a pair of blocks, and one of words unless it is left out
+    assert len(looked_at) == 2 if blocks == [1, 1] else len(looked_at) < 2 * blocks[0] * blocks[1]
+
+
+@pytest.mark.parametrize("n", [1, 36, 100])
+def test_cells_are_dealt_evenly_to_partitions(spark, n):
+    keys = spread_keys(spark, n)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = [r["count"] for r in spark.createDataFrame([(k,) for k in keys], "key int").groupBy(F.pmod(F.hash("key"), F.lit(parts))).count().collect()]
+    assert len(set(keys)) == n and len(counts) == min(n, parts) and max(counts) - min(counts) <= 1
