@@ -86,6 +86,21 @@ def test_greedy_matches_in_narrow_bands_equal_the_sorted_walk(spark, monkeypatch
     assert len(made) <= 10
 
 
+def test_the_walk_reads_a_pair_in_one_range_only(spark, monkeypatch):
+    """Ranges of scores follow one another, and pairs of units used up above a range are not looked at; in bands, pairs were counted and read again for each."""
+    rng = random.Random(13)
+    gaps, directions = ([(f"{prefix}{i:03d}", sorted({f"w{rng.randrange(9)}" for _ in range(5)}), ["c"]) for i in range(30)] for prefix in "gd")
+    schema = "id string, terms array<string>, concepts array<string>"
+    left, right = (decide.match_units(spark.createDataFrame(rows, schema)) for rows in (gaps, directions))
+    scores = decide.written(decide.match_scores(left, right))
+    monkeypatch.setattr(decide, "BAND", 60)
+    seen, real = [], decide._Walk.down
+    monkeypatch.setattr(decide._Walk, "down", lambda self, pairs: seen.append({tuple(r) for r in pairs.select("gap_unit", "direction_unit").collect()}) or real(self, pairs))
+    found = decide.greedy_matches(left, right, scores, is_written=True)
+    assert {(r["gap_id"], r["direction_id"], r["score"]) for r in found.collect()} == walk(gaps, directions)
+    assert len(seen) > 1 and sum(map(len, seen)) == len(set().union(*seen)) < scores.count()
+
+
 def test_routes_meet_classes_of_feeds(spark, monkeypatch):
     """However many feeds hold the same keywords, a keyword list meets them once."""
     rng = random.Random(8)
