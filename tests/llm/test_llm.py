@@ -486,6 +486,52 @@ def test_decontamination_equals_brute_force(llm, n_items):
     assert sorted((r["doc_id"], r["item_id"]) for r in again.collect()) == [(0, 1), (0, 1), (0, 2)]
 
 
+def test_passages_without_weight_enough_are_left_out_only_if_none_can_match():
+    """The bound on a passage's cosine holds for words that stand several times, in texts of one and more halves."""
+    items, docs = planted(31, 30, 40)
+    texts = [x for _, x in docs] + [f"{items[3][1]} {items[3][1].split()[0]} " * 2, items[4][1], "one", " ".join(items[5][1].split()[:3] * 9)]
+    hashes = decontaminate.words_of(TextBatch.of([x for _, x in items])).hashes
+    terms = decontaminate.Terms(hashes)
+    df = np.random.default_rng(1).integers(1, 40, terms.size).astype(float)
+    weight = (np.log(41 / df) + 0.01) ** decontaminate.IDF_POWER
+    rows = [{"item_id": i, "text": x, "answer": None} for i, x in items]
+    group, = decontaminate.groups_of(rows, terms, weight, df, np.median(weight))
+    index = decontaminate.index_of(group, terms, 40, np.linalg.qr(np.random.default_rng(2).standard_normal((terms.size, 64)))[0])
+    batch = TextBatch.of(texts)
+    words = decontaminate.words_of(batch)
+    passages, numbers = decontaminate.Passages.of(words), terms.numbers(words.hashes)
+    lengths = decontaminate.passage_lengths(batch, terms, group.weight)
+    norms = np.linalg.norm(decontaminate.passage_matrix(batch, terms, group.weight[:-1], np.eye(terms.size)), axis=1)
+    at, windows = passages.repeats(numbers)
+    squares = np.append(index.squares[:-1], 0)[numbers].astype(float)
+    assert np.allclose(passages.sums(squares[:, None])[:, 0] + 2 * np.bincount(windows, squares[at], minlength=len(norms)), norms**2, rtol=1e-4)
+    some = decontaminate._reaching(index, numbers, passages, lengths, (at, windows))
+    whole = passages.looked_up(numbers, index.rows)
+    assert np.allclose(passages.looked_up(numbers, index.rows, some), whole[some], atol=1e-5) and 0 < len(some)
+    cosine = (whole / np.maximum(lengths, np.linalg.norm(whole, axis=1, keepdims=True)) @ index.windows.T).max(axis=1)
+    assert set(np.flatnonzero(cosine >= decontaminate.COSINE)) <= set(some)
+
+
+@pytest.mark.parametrize("most", [4_096, 200, 0])
+def test_decontamination_fits_its_spaces_on_all_documents(llm, monkeypatch, most):
+    """The spaces are the leading vectors of the passages of every document; they were fitted on a sample of 2,000 documents."""
+    items, docs = planted(30, 70, 100)
+    docs = [*docs, *((5_000 + i, prose(i, 40)) for i in range(2_500))]
+    monkeypatch.setattr(decontaminate, "GRAM_TERMS", most)
+    fitted, real = [], decontaminate.fit
+    monkeypatch.setattr(decontaminate, "fit", lambda texts, groups: fitted.append((texts.count(), groups, out := real(texts, groups))) or out)
+    table = llm.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    decontaminate.matches(table, llm.createDataFrame(items, "item_id long, text string"))
+    (n, groups, found), = fitted
+    assert n == len(docs) and len(groups) == 2
+    for g, vectors in zip(groups, found):
+        own, theirs = (decontaminate.product(TextBatch.of(texts), g.terms, g.weight, np.eye(g.terms.size), True) for texts in (g.texts, [x for _, x in docs]))
+        whole = own[1] / own[0] + decontaminate.DOC_SHARE * theirs[1] / theirs[0]
+        best = np.linalg.eigvalsh(whole)[::-1][: decontaminate.DIMENSIONS].sum()
+        kept = np.trace(vectors.T @ whole @ vectors)
+        assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-6) and kept == pytest.approx(best, rel=1e-3 if g.terms.size <= most else 0.03)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(-1, 4), max_size=20))
 def test_common_subsequence(item, text):
