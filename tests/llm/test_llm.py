@@ -486,6 +486,15 @@ def test_decontamination_equals_brute_force(llm, n_items):
     assert sorted((r["doc_id"], r["item_id"]) for r in again.collect()) == [(0, 1), (0, 1), (0, 2)]
 
 
+def test_the_pipeline_fits_its_benchmark_spaces_on_all_rows(llm, monkeypatch):
+    import corpus_pipeline
+
+    docs = llm.createDataFrame([(i, prose(i, 30)) for i in range(2_600)], "doc_id long, text string")
+    given, real = [], decontaminate.fit
+    monkeypatch.setattr(decontaminate, "fit", lambda texts, groups: given.append(texts.count()) or real(texts, groups))
+    assert dict(corpus_pipeline.STAGES)["benchmark_decontamination"](llm, docs, SF).columns == docs.columns and given == [2_600]
+
+
 def test_passages_without_weight_enough_are_left_out_only_if_none_can_match():
     """The bound on a passage's cosine holds for words that stand several times, in texts of one and more halves."""
     items, docs = planted(31, 30, 40)
